@@ -74,7 +74,7 @@ def lead_backoff_seconds(failures: Column) -> Column:
 
 def http_backoff_ms(attempt: Column, retry_after_s: Column) -> Column:
     """The server's wish up to 30 s, else 500 ms doubled with every attempt."""
-    return F.coalesce(F.least(retry_after_s * 1000.0, F.lit(30_000.0)), 500 * F.pow(F.lit(2.0), attempt))
+    return F.coalesce(F.when(retry_after_s.isNotNull(), F.least(retry_after_s * 1000.0, F.lit(30_000.0))), 500 * F.pow(F.lit(2.0), attempt))
 
 
 # HTTP statuses worth another try.
