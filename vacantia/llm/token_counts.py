@@ -2,12 +2,16 @@
 
 1. Texts are cut at the tokenizer's special strings, as the library does, and then into the
    library's own pre-tokens. Documents of one partition form blocks of up to ``block_bytes`` of text;
-   a block becomes one row: its distinct pre-tokens, and per document their numbers and frequencies.
-2. The distinct pre-tokens of all blocks meet by text; the pieces of each are counted once.
+   a block becomes one row: its distinct pre-tokens, dealt to buckets by hash, and per document their
+   numbers and frequencies.
+2. All blocks' pre-tokens of a bucket meet in one task (a row a block, its strings compressed);
+   the pieces of each distinct one are counted once.
 3. The counts are joined back to the blocks' frequencies and summed per document.
 
-A pre-token of every document is one row a block, not one a document, so frequent ones make no hot
-key. Defined results: null counts as empty (0 bytes, 0 tokens); repeated documents are counted row
+A pre-token of every document is one entry a block, not one a document, so frequent ones make no hot
+key; a task remembers the distinct pre-tokens of one bucket at a time. Blocks are made twice, which
+costs less than keeping them; a block that comes out differently is an error, not a wrong count.
+Defined results: null counts as empty (0 bytes, 0 tokens); repeated documents are counted row
 by row; equal blocks share their counts; other columns are ignored; any length is counted whole
 (a document longer than a block is a block by itself).
 """
@@ -23,13 +27,13 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8_000_000
 LIMIT = 1024
+LEAST_BUCKETS = 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -94,81 +98,115 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.int32)
 
 
-def _block(docs: list[int | None], texts: list[str], path: str) -> dict:
-    """One row: the distinct pre-tokens in order of first sight; per document their numbers (as steps) and frequencies."""
+def _block(docs: list[int | None], texts: list[str], path: str, buckets: int) -> dict:
+    """One row: the distinct pre-tokens dealt to buckets, numbered through; per document their numbers (as steps) and frequencies."""
     pre, place, key = pre_tokens(path), defaultdict(count().__next__), hashlib.blake2b(digest_size=16)
     numbers, counts, sizes, specials, n_bytes = [], [], [], [], []
     for doc, text in zip(docs, texts, strict=True):
         raw = text.encode()
         key.update(f"{doc}:{len(raw)}:".encode() + raw)
         freq, special = pre.frequencies(text)
-        at = np.fromiter(map(place.__getitem__, freq), np.int32, len(freq))
-        order = at.argsort()
-        numbers.append(np.diff(at[order], prepend=0))
-        counts.append(np.fromiter(freq.values(), np.int32, len(freq))[order])
+        numbers.append(np.fromiter(map(place.__getitem__, freq), np.int32, len(freq)))
+        counts.append(np.fromiter(freq.values(), np.int32, len(freq)))
         sizes.append(len(freq))
         specials.append(special)
         n_bytes.append(len(raw))
-    return {"block": key.hexdigest(), "docs": docs, "n_bytes": n_bytes, "specials": specials, "tokens": list(place), "sizes": _pack([np.array(sizes)]), "numbers": _pack(numbers), "counts": _pack(counts)}
-
-
-BLOCKS = "block string, docs array<long>, n_bytes array<long>, specials array<int>, tokens array<string>, sizes binary, numbers binary, counts binary"
+    tokens = [t.encode() for t in place]
+    bucket = np.fromiter((zlib.crc32(t) % buckets for t in tokens), np.int32, len(tokens))
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(tokens), np.int32)
+    number[order] = np.arange(len(tokens), dtype=np.int32)
+    for k, own in enumerate(numbers):
+        own = number[own]
+        turn = own.argsort()
+        numbers[k] = np.diff(own[turn], prepend=0)
+        counts[k] = counts[k][turn]
+    dealt, at = [], 0
+    for k, n in zip(*np.unique(bucket, return_counts=True), strict=True):
+        dealt.append({"bucket": int(k), "tokens": zlib.compress(GAP.join(tokens[j] for j in order[at : at + n]), 1)})
+        at += n
+    return {"block": key.hexdigest(), "docs": docs, "n_bytes": n_bytes, "specials": specials, "dealt": dealt, "n_pretokens": len(tokens)} | {
+        "sizes": _pack([np.array(sizes)]),
+        "numbers": _pack(numbers),
+        "counts": _pack(counts),
+    }
+
+
+#: Stands between the pre-tokens of a bucket; no byte of UTF-8.
+GAP = b"\xff"
+BLOCKS = "block string, docs array<long>, n_bytes array<long>, specials array<int>, dealt array<struct<bucket:int,tokens:binary>>, n_pretokens int, sizes binary, numbers binary, counts binary"
 _BLOCK_TYPES = pa.schema(
     [("block", pa.string()), ("docs", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32()))]
-    + [("tokens", pa.list_(pa.string())), ("sizes", pa.binary()), ("numbers", pa.binary()), ("counts", pa.binary())]
+    + [("dealt", pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary())]))), ("n_pretokens", pa.int32())]
+    + [("sizes", pa.binary()), ("numbers", pa.binary()), ("counts", pa.binary())]
 )
 
 
-def blocks(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
+def blocks(docs: DataFrame, path: str, block_bytes: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, size = [], [], 0
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 if texts and size + len(text) > block_bytes:
-                    yield pa.RecordBatch.from_pylist([_block(ids, texts, path)], _BLOCK_TYPES)
+                    yield pa.RecordBatch.from_pylist([_block(ids, texts, path, buckets)], _BLOCK_TYPES)
                     ids, texts, size = [], [], 0
                 ids.append(doc.as_py())
                 texts.append(text)
                 size += len(text)
             if texts:
-                yield pa.RecordBatch.from_pylist([_block(ids, texts, path)], _BLOCK_TYPES)
+                yield pa.RecordBatch.from_pylist([_block(ids, texts, path, buckets)], _BLOCK_TYPES)
 
     return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
+def _count(path: str):
+    """Pieces of each pre-token; rows come sorted by bucket, and a pre-token has one bucket: each is counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count_one = pre_tokens(path).pieces
+        bucket, known = None, {}
+        for batch in batches:
+            out = []
+            for own, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                found = []
+                for t in zlib.decompress(tokens).split(GAP):
+                    n = known.get(t)
+                    if n is None:
+                        n = known[t] = count_one(t.decode())
+                    found.append(n)
+                out.append(_pack([np.array(found, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "pieces"])
+
+    return run
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             sizes, counts = _unpack(row["sizes"]), _unpack(row["counts"]).astype(np.int64)
-            pieces = np.zeros(row["n_tokens_of_block"], np.int64)
-            for at, n in zip(row["at"] or [], row["pieces"] or [], strict=True):
-                pieces[at] = n
-            if len(pieces) and not pieces.all():
+            pieces = np.concatenate([np.zeros(0, np.int64), *(_unpack(x["pieces"]) for x in row["found"] or [])])
+            if len(pieces) != row["n_pretokens"]:
                 raise RuntimeError(f"block {row['block']} came out differently when it was read again")
             # numbers are steps inside a document: running sums, less what stood before it
             steps = np.cumsum(_unpack(row["numbers"]), dtype=np.int64)
             ends = np.cumsum(sizes)
             before = np.concatenate(([0], steps))[ends - sizes]
             number = steps - np.repeat(before, sizes)
-            sums = np.concatenate(([0], np.cumsum(pieces[number] * counts)))
+            sums = np.concatenate(([0], np.cumsum(pieces[number].astype(np.int64) * counts)))
             n = sums[ends] - sums[ends - sizes] + np.array(row["specials"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(n.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of every document."""
+def token_counts(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` of every document. More data wants more buckets: 4 a shuffle partition unless given."""
     path = path or tokenizer_path()
-
-    @F.pandas_udf("int")
-    def pieces_of(tokens: pd.Series) -> pd.Series:
-        return tokens.map(pre_tokens(path).pieces)
-
-    rows = blocks(docs, path, block_bytes)
-    # one exchange by pre-token serves both the distinct ones and the join back
-    wanted = rows.select("block", F.posexplode("tokens").alias("at", "token")).repartition("token")
-    counted = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("blocks")).select("token", pieces_of("token").alias("pieces"))
-    found = wanted.join(counted, "token").groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("found"))
-    found = found.select("block", F.col("found.at").alias("at"), F.col("found.pieces").alias("pieces"))
-    joined = rows.select("block", "docs", "n_bytes", "specials", F.size("tokens").alias("n_tokens_of_block"), "sizes", "numbers", "counts").join(found, "block", "left")
-    return joined.mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
+    buckets = buckets or max(LEAST_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = blocks(docs, path, block_bytes, buckets)
+    asked = rows.select("block", F.explode("dealt").alias("d")).select("block", "d.bucket", "d.tokens")
+    counted = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(path), "block string, bucket int, pieces binary")
+    # equal blocks (repeated rows) ask alike and are answered alike
+    found = counted.groupBy("block").agg(F.sort_array(F.collect_set(F.struct("bucket", "pieces"))).alias("found"))
+    return rows.drop("dealt").join(found, "block", "left").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
