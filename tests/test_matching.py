@@ -73,7 +73,7 @@ def test_requirements(text, found):
     ("text", "years", "education", "want"),
     [
         ("Minimum 5 years of Java experience", 7, [], [("experience", "supported")]), ("Minimum 9 years of experience required", 7, [], [("experience", "partial")]), ("5 years of experience preferred", 7, [], []),
-        ("Must have 3 years experience", None, [], [("experience", "unsupported")]), ("Bachelor's degree in Computer Science required", 1, ["B.Tech Computer Science"], [("education", "supported")]),
+        ("Must have 3 years experience", None, [], [("experience", "unsupported")]), ("Bachelor's degree in Computer Science required", 1, ["B.Tech Computer Science"], [("education", "supported")] * 2),
         ("Master's degree required", 1, ["B.Tech Computer Science"], [("education", "unsupported")]), ("Requirements:\nBachelor's degree in Polymer Science or a related field", 1, ["B.Sc Chemistry"], [("education", "unsupported")]),
         ("Nice to have\n4 years of experience", 1, [], []), ("Requirements\n4+ years experience", 9, [], [("experience", "supported")]),
     ],
@@ -99,7 +99,11 @@ def test_ranking(spark, profile):
     assert {r.id: r.reasons for r in out.collect()} == {"old": ["posted_too_old:30d"], "us": ["country_not_eligible:IN"]}
     strict, out = matching.match_jobs(rows, profile, Intent(roles=["backend engineer"], max_age_days=30, excluded_terms=["snowflake"]), NOW, minimum_percent=50)
     reasons = {r.id: r.reasons for r in out.collect()}
-    assert reasons["undated"] == ["posted_too_old:30d"] and reasons["data"] == ["excluded_term:snowflake"] and reasons["near"][0].startswith("below_minimum_evidence_score:") is ("near" not in {r.id for r in strict.collect()})
+    assert reasons["undated"] == ["posted_too_old:30d"] and reasons["data"] == ["excluded_term:snowflake"]
+    # 22.5 for an adjacent title, all requirements, no seniority either way: the half rounds up
+    assert {r.id: r.evidence_percent for r in strict.collect()}["near"] == 83
+    _, out = matching.match_jobs(rows, profile, Intent(roles=["backend engineer"], max_age_days=0), NOW, minimum_percent=90)
+    assert {r.id: r.reasons for r in out.collect()}["near"] == ["below_minimum_evidence_score:83"]
     keyword, _ = matching.match_jobs(rows, profile, Intent(), NOW, mode="keyword", limit=2)
     assert keyword.count() == 2
 

@@ -33,7 +33,8 @@ def _adapter(name: str):
 
 def _rows(payloads: DataFrame, schema: str, array: str | None) -> DataFrame:
     """Records of the bodies, by position; ``array`` is where the list stands (none: the body itself)."""
-    body = F.from_json("body", schema)
+    # Spark reads a lone object as a list of one, which is no list of records
+    body = F.from_json("body" if array else F.when(F.ltrim("body").startswith("["), F.col("body")), schema)
     return payloads.select("source_slug", "name", "token", F.posexplode(body[array] if array else body).alias("ordinal", "j"))
 
 
