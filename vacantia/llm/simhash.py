@@ -37,6 +37,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of a bucket that one task takes at once.
 BUCKET = 4096
+#: Full buckets up to this number are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Cost of a test in a bucket against that of a question sent to one; weighs the choice of m.
 TEST_COST = 4.0
 
@@ -185,8 +187,12 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET) ->
         rows = own.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
         table = rows if table is None else table.unionByName(rows)
     # pieces of full buckets: a table row goes to one piece, a question to all
-    full = table.where(~F.col("asks")).groupBy("segment", "value").count().where(F.col("count") > bucket).select("segment", "value", F.ceil(F.col("count") / bucket).cast("int").alias("pieces"))
-    wide = table.join(full, ["segment", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    full = cut(table.where(~F.col("asks")).groupBy("segment", "value").count().where(F.col("count") > bucket).select("segment", "value", F.ceil(F.col("count") / bucket).cast("int").alias("pieces")))
+    n_full = full.count()
+    if not n_full:
+        wide = table.withColumn("pieces", F.lit(1))
+    else:
+        wide = table.join(F.broadcast(full) if n_full <= BROADCAST_ROWS else full, ["segment", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     every = F.sequence(F.lit(0), F.col("pieces") - 1)
     piece = F.when(F.col("asks"), every).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")))
     dealt = wide.select("segment", "value", F.explode(piece).alias("piece"), "asks", "fp").repartition("segment", "value", "piece").sortWithinPartitions("segment", "value", "piece", "asks")
