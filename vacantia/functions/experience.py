@@ -51,13 +51,14 @@ def _number(text: str | None) -> float | None:
 
 def readings_of(text: str) -> list[Reading]:
     """All ranges that count, best first: overall or total, then lines of their own, then the larger minimum."""
-    if not re.search("year|yr", text, re.I):
+    low = text.lower()
+    if "year" not in low and "yr" not in low:
         return []
     out = []
     for pattern in (YEARS_FIRST, WORD_FIRST, LEAST_FIRST, ALONE):
         for m in pattern.finditer(text):
-            low, high = _number(m[1]), _number(m[2])
-            if low is None or low > 20 or (high is not None and not low <= high <= 40):
+            least, high = _number(m[1]), _number(m[2])
+            if least is None or least > 20 or (high is not None and not least <= high <= 40):
                 continue
             before = text[max(0, m.start() - 60) : m.start()]
             if pattern is not LEAST_FIRST and _EMPLOYER.search(before) and not _LEAST_BEFORE.search(before):
@@ -65,8 +66,8 @@ def readings_of(text: str) -> list[Reading]:
             # the clause begins after the last line feed or full stop before the match
             clause = max(text.rfind("\n", 0, m.start()), text.rfind(".", 0, m.start())) + 1
             priority = 3 if _OVERALL.search(text[clause : m.end()]) else 2 if pattern is ALONE else 1
-            two_sided = high is not None and high != low
-            out.append(Reading(m.start(), m[0], priority, low, high if two_sided else None, two_sided and _OPEN.search(m[0]) is not None))
+            two_sided = high is not None and high != least
+            out.append(Reading(m.start(), m[0], priority, least, high if two_sided else None, two_sided and _OPEN.search(m[0]) is not None))
     return sorted(out, key=lambda r: (-r.priority, -r.low, r.index))
 
 

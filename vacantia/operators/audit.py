@@ -99,10 +99,19 @@ def search_audit(jobs: DataFrame, partitions: DataFrame, country: str, as_of: da
     }
 
 
+def _joined_neighbours(tokens: Column, n: int) -> Column:
+    """Every n tokens in a row, joined by spaces; one pass over the array for each further token."""
+    out = tokens
+    for k in range(1, n):
+        later = F.slice(tokens, F.lit(k + 1), F.size(tokens))
+        out = F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b))  # null where the tokens end
+    return F.filter(out, lambda g: g.isNotNull())
+
+
 def ngrams(clauses: DataFrame, clause: str, stop_words: list[str], n: int, top: int, token: str = "[a-z][a-z0-9+#.-]*") -> DataFrame:
     """The most frequent n-grams of clauses; stop words go before neighbours are taken; ties by the alphabet."""
     kept = F.filter(F.regexp_extract_all(F.lower(clause), F.lit(token), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(stop_words))
-    grams = text.let(kept, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda k: F.array_join(F.slice(t, k, n), " "))).otherwise(F.array().cast("array<string>")))
+    grams = text.let(kept, lambda t: _joined_neighbours(t, n))
     counted = clauses.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return counted.orderBy(F.desc("n"), "gram").limit(top)
 
