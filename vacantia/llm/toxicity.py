@@ -45,6 +45,8 @@ SEED = 29
 #: States of a worker's automaton; it starts anew when full.
 STATES = 200_000
 WORDS = 300_000
+#: Columns that scoring adds for itself.
+FEATURES, SCORE = "_toxic_features", "_toxic_score"
 
 #: Fixed word list: verbs of saying, in the languages of the corpus.
 SAYING = "said says wrote writes quote quoted quotes called calling sagte schrieb nannte zitat dit écrit appelle citation dijo escribió llamó cita".split()
@@ -226,13 +228,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) ->
 
 
 def _features(df: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    schema = StructType([df.schema[c] for c in keep]).add("x", ArrayType(DoubleType()))
+    schema = StructType([df.schema[c] for c in keep]).add(FEATURES, ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(lexicon)
         for batch in batches:
             x = [features(t.as_py() or "", automaton) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, FEATURES])
 
     return df.mapInArrow(run, schema)
 
@@ -255,19 +257,19 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         rows = _features(sample, lexicon, ["toxic"]).collect()
     finally:
         sample.unpersist()
-    return Model(lexicon, fit(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])).tolist())
+    return Model(lexicon, fit(np.array([r[FEATURES] for r in rows]), np.array([float(r["toxic"]) for r in rows])).tolist())
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score``."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns and the score under ``name``."""
     if model.weights is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(0.0).alias(name))
     *weights, base = model.weights
-    x = _features(docs.select(*dict.fromkeys([*keep, "text"])), model.lexicon, keep)
+    found = _features(docs.select(*dict.fromkeys([*keep, "text"])), model.lexicon, keep)
     z = F.lit(base)
     for k, w in enumerate(weights):
-        z = z + F.col("x")[k] * w
-    return x.select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+        z = z + F.col(FEATURES)[k] * w
+    return found.select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias(name))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,4 +279,4 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents, with all their columns, that score under 0.5."""
-    return score(docs, train(docs, labels), docs.columns).where("score < 0.5").select(*docs.columns)
+    return score(docs, train(docs, labels), docs.columns, SCORE).where(F.col(SCORE) < 0.5).select(*docs.columns)
