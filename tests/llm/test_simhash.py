@@ -86,3 +86,29 @@ def test_empty_and_clashing(docs, empty, clashing):
 def test_native_hash_is_the_same(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b c dé"))).first()[0]
     assert got % (1 << 64) == xxhash.xxh64_intdigest("a b c dé".encode(), 42)
+
+
+def test_near_copies_share_their_shingles(spark):
+    """Pairs planted about the bar, against brute force; most are too far apart for op5's four bits."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(120):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 240))]
+        other = list(words)
+        for at in rnd.sample(range(len(words)), max(1, round(len(words) * rnd.uniform(0.005, 0.035)))):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    like = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(sets), 2)]
+    assert sum(0.8 <= x < 0.95 for x in like) > 20 and sum(0.5 < x < 0.8 for x in like) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k for k in range(len(texts)) if k % 2 == 0 or like[k // 2] < 0.8}
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == want
+
+
+def test_near_copies_within_one_bucket(spark):
+    """A chain whose ends are below the bar is one group, though neighbours alone reach it."""
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[k : k + 150]) for k in range(0, 50, 10)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_first(docs).collect()] == [0]

@@ -14,6 +14,10 @@ so a dense group of n fingerprints gives about n edges a bucket, never all pairs
 components is lost. Components then grow by repeated hooking to the smallest neighbour and pointer
 jumping, distributed, each round cut by a checkpoint in the shared folder.
 
+``keep_first``, the pipeline's stage, has a bar of its own: sets of five-word shingles of which two
+texts share 0.8. Seeded minimum hashes in bands (``near_copies``) give the candidates, the texts
+themselves decide, and groups grow in the same way.
+
 Defined results: null or blank text has fingerprint zero, linked like any other; repeated rows and
 equal texts share fingerprint and component; a null doc_id counts as no smallest id unless a
 component has no other; other columns are ignored; the whole text is used whatever its length.
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, write_shared
 
 SHINGLE = 4
 BITS = 64
@@ -41,6 +45,14 @@ BUCKET = 4096
 BROADCAST_ROWS = 100_000
 #: Cost of a test in a bucket against that of a question sent to one; weighs the choice of m.
 TEST_COST = 4.0
+#: Near copies: words of a shingle and percent of shingles to share, of all that either text has.
+WORDS = 5
+LIKE = 80
+#: Bands and minimum hashes in each: of pairs that share just 0.8, (1 - 0.8**4)**32, one in 20 million, meet in no band; of closer ones fewer.
+BANDS = 32
+ROWS = 4
+_MASKS, _ODDS, _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
+_ODDS, _MIXERS = _ODDS | np.uint64(1), _MIXERS | np.uint64(1)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -240,10 +252,89 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` of ``a, b, left, right`` whose texts share ``LIKE`` of their shingles; empty sets are equal."""
+    seen: dict[int, np.ndarray] = {}
+
+    def shingles(node: int, text: str | None) -> np.ndarray:
+        if node not in seen:
+            if len(seen) >= 256:
+                seen.clear()
+            seen[node] = np.unique(shingle_hashes(text, WORDS))
+        return seen[node]
+
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        near = []
+        for x, y, left, right in zip(a, b, batch.column("left"), batch.column("right"), strict=True):
+            one, other = shingles(x, left.as_py()), shingles(y, right.as_py())
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            near.append(100 * both >= LIKE * (len(one) + len(other) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key a band, of the least values of ``ROWS`` seeded hashes over the distinct shingles."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, max(1, len(shingles)), 1024):
+        some = shingles[k : k + 1024] if len(shingles) else np.zeros(1, np.uint64)
+        least = np.minimum(least, ((some[:, None] ^ _MASKS) * _ODDS).min(axis=0))
+    return (least * _MIXERS).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(x.as_py(), WORDS)) for x in batch.column("text")]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "node", "n", "keys"])
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """``row, root`` of rows (``row``, ``text``): one root for texts joined by shares of ``LIKE`` percent and more.
+
+    Texts with one set of shingles are one node. Nodes that share a band key stand in one bucket; buckets
+    of the same nodes count once. Every node is held against the least and greatest of its buckets, and
+    those of a bucket that are then still apart against each other: texts decide, not keys.
+    """
+    marked = write_shared(rows.select("row", "text").mapInArrow(_sketches, "row long, node long, n long, keys array<long>"), "sketches")
+    nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
+    kinds = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("held > 1")
+    kinds = cut(kinds.groupBy("held", "low", "high", "mark").agg(F.min("key").alias("key")))
+    members = cut(dealt.join(kinds.select("key", "low", "high"), "key"))
+    texts = members.select("node").distinct().join(nodes.select("node", "row"), "node").join(rows.select("row", "text"), "row")
+    texts = write_shared(texts.select("node", "text"), "candidates")
+    sizes = nodes.select("node", "n")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+        return cut(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"))
+
+    fits = 100 * F.least("n", "m") >= LIKE * F.greatest("n", "m")
+    ends = members.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node <> end").distinct()
+    ends = ends.join(sizes.select(F.col("node").alias("end"), F.col("n").alias("m")), "end").where(fits)
+    edges = judged(ends.select(F.least("node", "end").alias("b"), F.greatest("node", "end").alias("a")))
+    root = components(edges)
+    placed = members.join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.col("node").isin(F.col("low"), F.col("high")).alias("end"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    placed = cut(placed.where("not end").join(apart, "key").drop("end"))
+    other = placed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
+    rest = placed.join(other, "key").where((F.col("node") > F.col("other")) & (F.col("root") != F.col("its")) & fits)
+    more = judged(rest.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    if not more.isEmpty():
+        root = components(edges.unionAll(more))
+    return marked.select("row", "node").join(root, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of repeated rows with that id the smallest row."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    ids = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    """One document of each group of near copies: the one with the smallest doc_id; of repeated rows with that id the smallest row."""
+    rows = write_shared(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"), "rows")
+    placed = cut(near_copies(rows).join(rows.select("row", "id"), "row"))
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = placed.join(least, "root")
+    ids = cut(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
     same = docs["doc_id"].eqNullSafe(ids["id"])
     once = docs.join(ids.where("n = 1"), same, "left_semi")
     often = docs.join(ids.where("n > 1"), same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
