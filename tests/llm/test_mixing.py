@@ -79,3 +79,18 @@ def test_one_source(spark):
     one = spark.createDataFrame([(k, "w " * (k % 7), "s") for k in range(200)], "doc_id long, text string, source string")
     got = mixing.mix(one).collect()
     assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r.size for r in got), abs=1) and all(r.size <= r.taken <= 2 * r.size for r in got)
+
+
+def test_tiny_sources_beside_huge_ones(spark):
+    """Blocks of over a hundred words: sources below and about one block come near their targets, too."""
+    rows = [(k, " ".join(["w"] * 500), f"big{k % 3}") for k in range(3000)]
+    rows += [(5000, "w " * 7, "tiny"), (5001, "w " * 90, "zsmall"), (5002, "w " * 110, "zsmall"), (5003, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, blocks=2_000).collect()
+    taken, target = defaultdict(int), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    block = int(sum(target.values()) // 2_000)
+    assert block > 1000 and target["tiny"] == 14 and target["zsmall"] == 400 and target[None] == 2
+    assert all(abs(taken[s] - target[s]) <= (0.5 if target[s] < block else block) for s in target)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)

@@ -6,7 +6,9 @@ weight (water filling: one level L, target = min(cap * size, L * weight)).
 
 The mix is made of equal blocks of words. Blocks go to the sources one by one, each to the highest
 quotient target / (2 * blocks so far + 1); the order of the seats fills the shards one after the
-other, so every shard has an integer quota of each source. Within a source the documents stand in a
+other, so every shard has an integer quota of each source. A block grows with the corpus, so sources whose target is
+under ``FEW`` blocks have no seats among these: they take their target rounded to a word (the same
+rule at a divisor of one word), none is rounded away, and the others share the remaining seats. Within a source the documents stand in a
 seeded order; its blocks are taken from a seeded start block onward, around the end, so that at most
 the first and last document of the run are cut. A source taken more than once over goes around again.
 
@@ -30,6 +32,8 @@ SHARE = 1.5
 CAP = 2
 #: Blocks that the whole mix is made of, about.
 BLOCKS = 65_536
+#: Sources of fewer blocks take their target to the word.
+FEW = 64
 SHARDS = 8
 SEED = 17
 #: Hash ranges of a source, as bits.
@@ -73,11 +77,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     wanted = targets(sizes, weights, share, cap)
     total = wanted.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = max(1, int(total // blocks))
-    seats = int(total / block + 0.5)
-    given = quotas(wanted, block, seats, shards).groupBy("at").agg(F.sum("blocks").alias("blocks"))
+    # sources of few blocks are measured in words
+    unit = F.when(F.lit(block > 1) & (F.col("target") < FEW * block), 1).otherwise(block)
+    wanted = wanted.withColumn("unit", unit)
+    large = wanted.where(F.col("unit") == block)
+    seats = int(large.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] / block + 0.5)
+    given = quotas(large, block, seats, shards).groupBy("at").agg(F.sum("blocks").alias("blocks"))
     size = F.col("source_size")
-    words = F.least(F.coalesce("blocks", F.lit(0)) * block, cap * size)
-    start = F.when(size > 0, F.floor((_hash60(F.col("source")) % size) / block) * block).otherwise(0).cast("long")
+    blocks_of = F.when(F.col("unit") == block, F.coalesce("blocks", F.lit(0))).otherwise(F.floor(F.col("target") + 0.5))
+    words = F.least(blocks_of * F.col("unit"), cap * size)
+    start = F.when(size > 0, F.floor((_hash60(F.col("source")) % size) / F.col("unit")) * F.col("unit")).otherwise(0).cast("long")
     plan = cut(wanted.join(given, "at", "left").select("at", F.col("source").alias("own"), "source_size", "target", words.alias("words"), start.alias("start")))
 
     laid = rows.join(plan, rows["source"].eqNullSafe(plan["own"])).withColumn("turn", _hash60(F.col("doc_id")))
