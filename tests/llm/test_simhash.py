@@ -112,3 +112,28 @@ def test_near_copies_within_one_bucket(spark):
     texts = [" ".join(words[k : k + 150]) for k in range(0, 50, 10)] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in simhash.keep_first(docs).collect()] == [0]
+
+
+def test_near_copies_of_one_template(spark, monkeypatch):
+    """A group of near copies, of which many pairs are below the bar, in whole buckets and in pieces."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.randint(2, 5)):
+            words[at] = f"x{rnd.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for k, g in enumerate(group):
+        first.setdefault(g, k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for piece in (simhash.PIECE, 16):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(first.values())

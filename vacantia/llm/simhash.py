@@ -51,6 +51,8 @@ LIKE = 80
 #: Bands and minimum hashes in each: of pairs that share just 0.8, (1 - 0.8**4)**32, one in 20 million, meet in no band; of closer ones fewer.
 BANDS = 32
 ROWS = 4
+#: Texts of a bucket that one task holds at once.
+PIECE = 2048
 _MASKS, _ODDS, _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 _ODDS, _MIXERS = _ODDS | np.uint64(1), _MIXERS | np.uint64(1)
 
@@ -273,6 +275,75 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def _common(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``one`` shares with each of ``other``."""
+    out = np.zeros((len(one), len(other)), np.int64)
+    flat = np.concatenate([*one, *other])
+    rows = np.repeat(np.arange(len(one) + len(other)), [len(s) for s in (*one, *other)])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rows, column = rows[count[column] > 1], column[count[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (k, k + 4096))
+        has = np.zeros((len(one) + len(other), 4096), np.float32)
+        has[rows[a:b], column[a:b] - k] = 1
+        out += (has[: len(one)] @ has[len(one) :].T).astype(np.int64)
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``a, b`` that join roots within a bucket's piece; rows come sorted by key, piece, asks."""
+    spot, held, asks = None, [], []
+    over: dict[int, int] = {}
+    edges: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while over.get(x, x) != x:
+            over[x] = over.get(over[x], over[x])
+            x = over[x]
+        return x
+
+    def compare(left: list, right: list) -> None:
+        if not left or not right:
+            return
+        both = _common([s for *_, s in left], [s for *_, s in right])
+        sizes = [np.array([len(s) for *_, s in side]) for side in (left, right)]
+        near = 100 * both >= LIKE * (sizes[0][:, None] + sizes[1][None, :] - both)
+        near &= np.array([r for _, r, _ in left])[:, None] != np.array([r for _, r, _ in right])[None, :]
+        for i, j in np.argwhere(near):
+            x, y = find(left[i][1]), find(right[j][1])
+            if x != y:
+                over[max(x, y)] = min(x, y)
+                edges.append((left[i][0], right[j][0]))
+
+    def done() -> list[pa.RecordBatch]:
+        nonlocal asks, edges
+        compare(held, asks)
+        found, asks, edges = edges, [], []
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return [pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])] if found else []
+
+    own = False
+    for batch in batches:
+        for key, piece, ask, node, root, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if (key, piece) != spot or (ask and not own):
+                if not own:
+                    compare(held, held)
+                if (key, piece) != spot:
+                    yield from done()
+                    spot, held, own = (key, piece), [], False
+                    over.clear()
+                own = ask
+            (asks if ask else held).append((node, root, np.unique(shingle_hashes(text, WORDS))))
+            if len(asks) >= PIECE:
+                yield from done()
+    if not own:
+        compare(held, held)
+    yield from done()
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One key a band, of the least values of ``ROWS`` seeded hashes over the distinct shingles."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
@@ -295,7 +366,8 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
     Texts with one set of shingles are one node. Nodes that share a band key stand in one bucket; buckets
     of the same nodes count once. Every node is held against the least and greatest of its buckets, and
-    those of a bucket that are then still apart against each other: texts decide, not keys.
+    those of a bucket that are then still apart against each other, within the task that holds the bucket or
+    a piece of it: texts decide, not keys, and a task returns spanning edges only.
     """
     marked = write_shared(rows.select("row", "text").mapInArrow(_sketches, "row long, node long, n long, keys array<long>"), "sketches")
     nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -317,12 +389,13 @@ def near_copies(rows: DataFrame) -> DataFrame:
     ends = ends.join(sizes.select(F.col("node").alias("end"), F.col("n").alias("m")), "end").where(fits)
     edges = judged(ends.select(F.least("node", "end").alias("b"), F.greatest("node", "end").alias("a")))
     root = components(edges)
-    placed = members.join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.col("node").isin(F.col("low"), F.col("high")).alias("end"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = cut(placed.where("not end").join(apart, "key").drop("end"))
-    other = placed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
-    rest = placed.join(other, "key").where((F.col("node") > F.col("other")) & (F.col("root") != F.col("its")) & fits)
-    more = judged(rest.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    placed = members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")).where("x <> y").select("key", "pieces")
+    # a node is held in one piece of its bucket and asks those after it
+    placed = placed.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    placed = placed.select("key", "node", "root", "own", F.explode(F.sequence("own", F.col("pieces") - 1)).alias("piece"))
+    placed = placed.join(texts, "node").select("key", "piece", (F.col("own") != F.col("piece")).alias("asks"), "node", "root", "text")
+    more = cut(placed.repartition("key", "piece").sortWithinPartitions("key", "piece", "asks").mapInArrow(_alike, "a long, b long"))
     if not more.isEmpty():
         root = components(edges.unionAll(more))
     return marked.select("row", "node").join(root, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
