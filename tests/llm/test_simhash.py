@@ -137,3 +137,12 @@ def test_near_copies_of_one_template(spark, monkeypatch):
     for piece in (simhash.PIECE, 16):
         monkeypatch.setattr(simhash, "PIECE", piece)
         assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(first.values())
+
+
+def test_rows_stay_whatever_their_ids(spark):
+    """Groups count, not ids: null ids with several texts, one id with two texts, one of them a copy."""
+    words = [" ".join(f"{a}{k}" for k in range(40)) for a in "abcdef"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (4, words[2]), (4, words[3]), (5, words[3]), (2, words[4]), (9, words[4]), (9, words[5]), (None, words[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, words[0]), (None, words[1]), (4, words[2]), (4, words[3]), (2, words[4]), (9, words[5])]
+    assert rows_of(simhash.keep_first(docs)) == sorted(want, key=repr)

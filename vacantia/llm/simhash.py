@@ -402,13 +402,13 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id; of repeated rows with that id the smallest row."""
-    rows = write_shared(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"), "rows")
+    """One row of each group of near copies: the one with the smallest doc_id (null last); of several with that id the smallest row."""
+    held = write_shared(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = held.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
     placed = cut(near_copies(rows).join(rows.select("row", "id"), "row"))
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = placed.join(least, "root")
-    ids = cut(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
-    same = docs["doc_id"].eqNullSafe(ids["id"])
-    once = docs.join(ids.where("n = 1"), same, "left_semi")
-    often = docs.join(ids.where("n > 1"), same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(often)
+    least = placed.groupBy("root").agg(F.min("id").alias("least"))
+    firsts = cut(placed.join(least, "root").where(F.col("id").eqNullSafe(F.col("least"))).select("root", "row"))
+    counts = firsts.groupBy("root").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    once = held.join(counts.where("n = 1").select("row"), "row", "left_semi").select("doc")
+    often = firsts.join(counts.where("n > 1").select("root"), "root").join(held, "row").groupBy("root").agg(F.min("doc").alias("doc")).select("doc")
+    return once.unionByName(often).select("doc.*")
