@@ -196,3 +196,13 @@ def test_candidate_upsert_and_order(spark):
     tries = spark.createDataFrame([("k1", T0), ("k2", T0 - timedelta(days=1))], "source_key string, attempted_at timestamp")
     known = spark.createDataFrame([("k3", T0)], "source_key string, checked_at timestamp")
     assert [r.source_key for r in verification.verification_order(rows, tries, known, 9).collect()] == ["k3", "k2", "k1"]
+
+
+def test_connected_follows_a_chain_to_its_end(spark, monkeypatch, tmp_path):
+    from vacantia.functions import graph
+
+    monkeypatch.setattr(graph, "ROUNDS", 2, raising=False)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = spark.createDataFrame([(k, [f"k{k}", f"k{k + 1}"]) for k in range(6)], "ordinal int, _keys array<string>")
+    assert {r.component for r in graph.connected(rows, "ordinal", "_keys").collect()} == {0}

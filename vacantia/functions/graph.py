@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 64
-
 
 def connected(rows: DataFrame, id_: str, keys: str) -> DataFrame:
-    """Add ``component``, the smallest id reachable over shared keys (an array column)."""
+    """Add ``component``, the smallest id reachable over shared keys (an array column). Rounds go on until nothing changes."""
     pairs = rows.select(F.col(id_).alias("id"), F.explode(keys).alias("key")).persist()
     label = rows.select(F.col(id_).alias("id"), F.col(id_).alias("component"))
     try:
-        for _ in range(ROUNDS):
+        while True:
             by_key = pairs.join(label, "id").groupBy("key").agg(F.min("component").alias("component"))
             new = pairs.join(by_key, "key").groupBy("id").agg(F.min("component").alias("component")).checkpoint()
             if not new.join(label.withColumnRenamed("component", "old"), "id").where("component < old").limit(1).count():
