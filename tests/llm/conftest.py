@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 
@@ -28,10 +30,13 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def clashing(docs):
-    """The corpus with further columns whose names the operators use themselves."""
+    """The corpus with a further column for every name that stands anywhere in the operators."""
     from pyspark.sql import functions as F
+    from vacantia import llm
 
-    return docs.withColumns({n: F.lit("x") for n in ("size", "key", "fp", "n_words", "spans", "score", "taken", "shard", "x", "at", "block", "range")})
+    names = {n.lower() for p in Path(llm.__file__).parent.glob("*.py") for n in re.findall(r"\"([A-Za-z_]\w*)\"", p.read_text())} | {"_bench_text_", "_row", "copies"}
+    assert {"_bench_spans", "_toxic_score", "size", "doc", "row", "_bench_text"} <= names
+    return docs.select("*", *[F.lit("x").alias(n) for n in sorted(names - {*docs.columns})])
 
 
 def rows_of(df):
