@@ -2,22 +2,24 @@
 
 A record's key is the hash of its text, so equal texts stand together. Steps:
 
-1. Draw a sample of keys, each record with odds as its size (the smallest ``-ln(u) / size``, u a
-   seeded hash: the same records in every run). A key that the sample holds several times is a heavy
-   group; all other sampled keys give quantile boundaries.
-2. Records fall into ranges between the boundaries, every heavy group into a range of its own.
+1. Keys are counted exactly, rows and bytes. A key of more than ``most_rows`` rows, or of more than a
+   sixteenth of a range's bytes, is a heavy group, be its texts long, short or empty.
+2. Of the other keys a sample is drawn, each record with odds as its size (the smallest
+   ``-ln(u) / size``, u a seeded hash: the same records in every run); it gives quantile boundaries.
+3. Records fall into ranges between the boundaries, every heavy group into a range of its own.
    Ranges with more than ``most_rows`` rows are subdivided (by the key; a heavy group by its rows).
-3. The exact bytes of the ranges lay all records along a line: heavy groups are given to shards
+4. The exact bytes of the ranges lay all records along a line: heavy groups are given to shards
    largest first, the ranges fill what room the shards have left. A group of equal texts stays whole
    in one shard unless it is larger than a shard; then it is cut at the exact byte.
-4. Slots number a shard's records from 0 without gaps, by running counts over the ranges.
+5. Slots number a shard's records from 0 without gaps, by running counts over the ranges.
 
-Only the sample (``SAMPLE`` keys) and the heavy groups (at most a quarter of it) reach the driver;
-no task ever holds more than a subdivided range.
+Only the sample (``SAMPLE`` keys) and the heavy groups (at most ``16 * RANGES`` by bytes and one for
+every ``most_rows`` rows) reach the driver. A task holds a subdivided range: ``most_rows`` rows on
+average, and as no key in it has more than that, seldom over twice as many.
 
 Defined results: null text has size 1 and CRC 0 and is a group by itself, as the empty text is;
-repeated rows each get a slot; an empty table gives no rows; other columns are ignored unless
-``shard_table`` is asked to carry them.
+repeated rows each get a slot; rows without a doc_id are sharded like others; an empty table gives no
+rows; other columns are ignored (``write_shards`` carries them).
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, literal_rows, write_shared
 
 SHARDS = 8
 SAMPLE = 8192
-#: Sample hits from which a key is a heavy group; so is one whose sampled bytes weigh four times as much.
-HEAVY_HITS = 4
 RANGES = 64
+#: A key of more than this part of a range's bytes is a heavy group.
+HEAVY_PART = 16
 MOST_ROWS = 500_000
 SEED = 20
 
@@ -48,6 +50,8 @@ def _measured(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        # rows without an id are told apart by where they stand; kept by the cut
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("spread"),
     )
 
 
@@ -88,31 +92,32 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, most_rows: int = MOST_R
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     most_rows = max(1, min(most_rows, n_rows // 256))
 
-    drawn = rows.select("key", "size", (-F.log(_unit(F.col("key"), F.col("doc_id"))) / F.col("size")).alias("turn")).orderBy("turn", "key").limit(SAMPLE)
-    sample = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.sum("size").alias("bytes")).orderBy("key").collect()
-    likely = [r["key"] for r in sample if r["hits"] >= HEAVY_HITS or r["bytes"] * SAMPLE >= 4 * HEAVY_HITS * total]
-    calm = sorted({r["key"] for r in sample} - {*likely})
+    # hash aggregation before the shuffle: a hot key is one row a task there
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    likely = sorted(r["key"] for r in counted.where((F.col("n") > most_rows) | (F.col("bytes") > max(1, total // (RANGES * HEAVY_PART)))).select("key").collect())
+    is_heavy = rows.join(F.broadcast(literal_rows(spark, [{"key": k, "heavy": True} for k in likely], "key:long,heavy:boolean")), "key", "left")
+    is_heavy = is_heavy.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    drawn = is_heavy.where("NOT heavy").select("key", (-F.log(_unit(F.col("key"), F.col("doc_id"))) / F.col("size")).alias("turn")).orderBy("turn", "key").limit(SAMPLE)
+    calm = sorted({r["key"] for r in drawn.select("key").collect()})
     bounds = sorted({calm[k * len(calm) // RANGES] for k in range(1, RANGES)}) if calm else []
 
-    heavy_keys = spark.createDataFrame([(k,) for k in likely], "key long")
-    is_heavy = rows.join(F.broadcast(heavy_keys.withColumn("heavy", F.lit(True))), "key", "left")
     below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    ranged = is_heavy.select("doc_id", "size", "text_crc32", "key", F.coalesce("heavy", F.lit(False)).alias("heavy"), F.when(F.col("heavy"), F.lit(-1)).otherwise(below).alias("range"))
+    ranged = is_heavy.select("doc_id", "spread", "size", "text_crc32", "key", "heavy", F.when(F.col("heavy"), F.lit(-1)).otherwise(below).alias("range"))
 
     ranges = ranged.groupBy("heavy", "range", F.when(F.col("heavy"), F.col("key")).alias("group")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
     heavy = sorted(((r["group"], r["bytes"]) for r in ranges if r["heavy"]), key=lambda x: (-x[1], x[0]))
     cuts, line = _fill(heavy, sum(r["bytes"] for r in ranges if not r["heavy"]), shards)
     place = {key: k for k, (key, _) in enumerate(heavy)}  # a heavy range's number: after the cold ones
     table = [
-        (r["heavy"], r["range"], r["group"], RANGES + place[r["group"]] if r["heavy"] else r["range"], -(-r["n"] // most_rows), float(r["low"]), max(1.0, float(r["high"]) - float(r["low"])), cuts[r["group"]] if r["heavy"] else line)
+        {"range": r["range"], "group": r["group"], "place": RANGES + place[r["group"]] if r["heavy"] else r["range"], "parts": -(-r["n"] // most_rows)}
+        | {"low": float(r["low"]), "width": max(1.0, float(r["high"]) - float(r["low"])), "cuts": [{"end": e, "shard": k} for e, k in (cuts[r["group"]] if r["heavy"] else line)]}
         for r in ranges
     ]
-    schema = "heavy boolean, range int, group long, place int, parts long, low double, width double, cuts array<struct<end:long,shard:int>>"
-    plan = F.broadcast(spark.createDataFrame(table, schema))
-    on = (ranged["range"] == plan["range"]) & ranged["heavy"].eqNullSafe(plan["heavy"]) & (~ranged["heavy"] | (ranged["key"] == plan["group"]))
+    plan = F.broadcast(literal_rows(spark, table, "range:int,group:long,place:int,parts:long,low:double,width:double,cuts:array<struct<end:long,shard:int>>"))
+    on = (ranged["range"] == plan["range"]) & F.when(ranged["heavy"], ranged["key"]).eqNullSafe(plan["group"])
     by_key = F.least(F.floor((F.col("key").cast("double") - F.col("low")) / F.col("width") * F.col("parts")), F.col("parts") - 1)
-    by_row = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("parts"))
-    placed = ranged.join(plan, on).select("doc_id", "size", "text_crc32", "key", ranged["heavy"], "place", F.when(ranged["heavy"], by_row).otherwise(by_key).cast("long").alias("part"), "cuts")
+    by_row = F.pmod(F.xxhash64(F.coalesce("doc_id", "spread"), F.lit(SEED)), F.col("parts"))
+    placed = ranged.join(plan, on).select("doc_id", "size", "text_crc32", "key", "heavy", "place", F.when(F.col("heavy"), by_row).otherwise(by_key).cast("long").alias("part"), "cuts")
 
     part = Window.partitionBy("place", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("place", "part", "key")
@@ -141,8 +146,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, most_rows: int = MOST_R
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the records themselves, a folder a shard, in slot order inside files; ``doc_id`` must be unique."""
-    spots = assign_shards(docs, shards).select("doc_id", "shard", "slot")
-    found = docs.drop("shard", "slot").join(spots, "doc_id")
+    """Write the records themselves with all their columns, a folder a shard, in slot order inside files."""
+    held = write_shared(docs.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id()), "records")
+    spots = assign_shards(held.select(F.col("_row").alias("doc_id"), "text"), shards).select(F.col("doc_id").alias("_row"), "shard", "slot")
+    found = held.join(spots, "_row").drop("_row")
     files = F.floor(F.col("slot") / F.lit(MOST_ROWS))
     found.repartition("shard", files).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
