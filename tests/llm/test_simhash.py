@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -57,7 +58,7 @@ def test_links_connect_all_within_the_radius(spark):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     known = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = brute_components(signed, fps)
-    for n, bucket in ((len(fps), 4096), (len(fps), 7), (10**7, 4096)):
+    for n, bucket in ((len(fps), 4096), (len(fps), 7), (10**9, 4096), (10**11, 4096)):
         root = {r.node: r.root for r in simhash.components(simhash.links(known, n, bucket=bucket)).collect()}
         assert [root.get(s, s) for s in signed] == want
     edges = simhash.links(known, len(fps))
@@ -69,6 +70,7 @@ def test_segments_cover_the_radius():
         parts = simhash.segments(n)
         assert sum(w for _, w, _ in parts) == 64 and max(b for *_, b in parts) >= 1
         assert sum(b + 1 for *_, b in parts) > simhash.RADIUS
+        assert len(parts) + sum(len(simhash._ball(w, b)) for _, w, b in parts) < 60  # rows a fingerprint sends to buckets
 
 
 def test_one_of_each_group_stays(docs, clashing):
@@ -146,3 +148,27 @@ def test_rows_stay_whatever_their_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(None, words[0]), (None, words[1]), (4, words[2]), (4, words[3]), (2, words[4]), (9, words[5])]
     assert rows_of(simhash.keep_first(docs)) == sorted(want, key=repr)
+
+
+def test_hot_groups(spark):
+    """A third of all texts blank, a third a family of one centre: roots and fingerprints of a third of all rows."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    family = " ".join(words)
+    rows = [(k, " " if k % 3 == 0 else family + " x" * (k % 5) if k % 3 == 1 else " ".join(rnd.sample(words, 40))) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = {}
+    for group in ([k for k in range(6000) if k % 3 == 0], [k for k in range(6000) if k % 3 == 1]):
+        want |= dict.fromkeys(group, group[0])
+    assert {k: got[k] for k in want} == want and {got[k] for k in range(2, 6000, 3)} == set(range(2, 6000, 3))
+
+
+def test_cost_of_a_comparison():
+    """The weight in the choice of segments: a comparison costs nanoseconds."""
+    rnd = np.random.default_rng(1)
+    forest = simhash._Forest(rnd.integers(0, 1 << 63, 4096).astype(np.uint64))
+    asked = rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    begin = time.perf_counter()
+    forest.join(asked, 4)
+    assert (time.perf_counter() - begin) / (4096 * 20_000) < 50e-9

@@ -5,8 +5,9 @@ compared. They are cut into m segments; with a limit of r differing bits, some s
 fingerprints differs in at most floor(r / m) bits (in one less beyond the first r mod m + 1
 segments). Each fingerprint stands in one table bucket a segment, and asks the buckets of the small
 Hamming ball around its own segment; complete distances decide. m is chosen from the number of
-distinct fingerprints: more, narrower segments mean fewer questions, but fuller buckets; m never
-exceeds r, so that some balls are enumerated.
+distinct fingerprints, weighing a shuffled row against a comparison in numpy: more, narrower segments
+mean fewer rows (24 a fingerprint at m = 4, 50 at m = 3), but fuller buckets; m never exceeds r, so
+that some balls are enumerated. With r = 4, m is 4 up to some 40 million and 3 up to 14 billion.
 
 Buckets above ``BUCKET`` fingerprints are dealt in pieces to several tasks, with the questions sent
 to each piece. A task compares numpy blocks and gives back only the edges that join something new,
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, write_shared
+from .common import cut, spread_join, whole, write_shared
 
 SHINGLE = 4
 BITS = 64
@@ -43,8 +44,10 @@ SEED = 42
 BUCKET = 4096
 #: Full buckets up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Cost of a test in a bucket against that of a question sent to one; weighs the choice of m.
-TEST_COST = 4.0
+#: Buckets with a table of so many fingerprints or fewer are compared all together.
+SMALL = 16
+#: Cost of a comparison (some 4 ns in numpy) against that of a row shuffled to a bucket (some 2 microseconds); weighs the choice of m.
+TEST_COST = 0.002
 #: Near copies: words of a shingle and percent of shingles to share, of all that either text has.
 WORDS = 5
 LIKE = 80
@@ -111,7 +114,7 @@ def segments(n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
             widths[k % m] += 1
         questions = sum(sum(comb(w, d) for d in range(b + 1)) for w, b in zip(widths, balls, strict=True) if b >= 0)
         tests = sum(n * sum(comb(w, d) for d in range(b + 1)) / 2.0**w for w, b in zip(widths, balls, strict=True) if b >= 0)
-        cost = questions + TEST_COST * tests
+        cost = m + questions + TEST_COST * tests
         if best is None or cost < best[0]:
             shifts = [BITS - sum(widths[: k + 1]) for k in range(m)]
             best = (cost, [(s, w, b) for s, w, b in zip(shifts, widths, balls, strict=True) if b >= 0])
@@ -133,9 +136,9 @@ class _Forest:
         self.label = np.arange(len(held))
 
     def join(self, asked: np.ndarray, radius: int) -> list[tuple[int, int]]:
-        edges = []
-        for k in range(0, len(asked), 1024):
-            some = asked[k : k + 1024]
+        edges, step = [], max(1, (1 << 22) // len(self.held))
+        for k in range(0, len(asked), step):
+            some = asked[k : k + step]
             near = np.bitwise_count(some[:, None] ^ self.held[None, :]) <= radius
             near &= some[:, None] != self.held[None, :]
             for x in np.flatnonzero(near.any(axis=1)):
@@ -167,12 +170,16 @@ def _edges(radius: int):
             tables = np.add.reduceat((~asks).astype(np.int64), begins)
             inner = np.ones(len(begins), bool)  # buckets that lie in this batch alone
             inner[[0, -1]] = False
-            # a bucket of one: its questions are compared with it at once, over all such buckets
-            single = np.repeat(inner & (tables == 1), ends - begins)
-            one, other = np.repeat(fps[begins], ends - begins)[single], fps[single]
+            # questions of small buckets meet their tables at once, over all such buckets
+            small = inner & (tables <= SMALL)
+            bucket = np.repeat(np.arange(len(begins)), ends - begins)
+            asking = np.flatnonzero(small[bucket] & asks)
+            times = tables[bucket[asking]]
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            one, other = fps[np.repeat(begins[bucket[asking]], times) + place], np.repeat(fps[asking], times)
             near = (np.bitwise_count(one ^ other) <= radius) & (one != other)
             edges = np.stack((other[near], one[near]), axis=1).tolist()
-            rest = ~inner | (tables > 1) & (tables < ends - begins)
+            rest = ~small & (~inner | (tables < ends - begins))
             for a, b, n in zip(begins[rest].tolist(), ends[rest].tolist(), tables[rest].tolist(), strict=True):
                 here = (int(spot[0, a]), int(spot[1, a]), int(spot[2, a]))
                 if here != key:
@@ -221,33 +228,34 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = cut(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
-    seen = None
+    seen, size = None, now.count()
     while True:
         # large star: larger neighbours of a node hang on the smallest of the node and its neighbours
         around = both(now)
-        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = cut(around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = cut(spread_join(around.where("b > a"), low, "a", 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its smaller neighbours hang on the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = spread_join(large, least, "a", size).select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
         now = cut(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+        seen, size = mark, mark[0]
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns (default doc_id), ``fp`` and ``component_id``, the smallest doc_id reachable by links."""
     keep = keep or ["doc_id"]
     marked = cut(fingerprints(docs, keep, shingle))
-    known = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(known.select("fp"), known.count(), radius)
+    known = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    n = known.count()
+    edges = links(known.select("fp"), n, radius)
     # the smallest doc_id of a component, then of every fingerprint in it
-    named = known.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    owner = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    owners = named.join(owner, "root").select("fp", "component_id")
-    return marked.join(owners, "fp").select(*keep, "fp", "component_id")
+    named = cut(known.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")))
+    owner = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    owners = cut(spread_join(named, owner, "root", n).select("fp", "component_id", F.col("rows").alias("n")))
+    return spread_join(marked, owners, "fp", marked.count()).select(*keep, "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -403,7 +411,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id (null last); of several with that id the smallest row."""
-    held = write_shared(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    held = write_shared(docs.select(whole(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     rows = held.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
     placed = cut(near_copies(rows).join(rows.select("row", "id"), "row"))
     least = placed.groupBy("root").agg(F.min("id").alias("least"))
