@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from vacantia.llm import decontam
 from vacantia.llm.fm_index import FMIndex, suffix_array
 
@@ -65,5 +66,10 @@ def test_empty_and_clashing(spark, docs, empty, clashing):
     none = spark.createDataFrame([], BENCH)
     assert decontam.contamination(empty, bench).count() == 0
     assert decontam.digest(decontam.contamination(docs, none)).where("n_hit > 0 or contaminated").count() == 0
-    assert rows_of(decontam.digest(decontam.contamination(clashing, bench))) == rows_of(decontam.digest(decontam.contamination(docs, bench)))
-    assert decontam.drop_contaminated(clashing, bench).columns == clashing.columns
+    own = [c for c in clashing.columns if c not in (decontam.N_WORDS, decontam.SPANS, decontam.ITEMS)]
+    assert rows_of(decontam.digest(decontam.contamination(clashing.select(own), bench))) == rows_of(decontam.digest(decontam.contamination(docs, bench)))
+    with pytest.raises(ValueError, match="_bench_spans"):
+        decontam.contamination(clashing, bench)
+    for blocks in (decontam.BLOCK_WORDS, 2):
+        kept = decontam.drop_contaminated(clashing, bench)
+        assert kept.columns == clashing.columns and rows_of(kept.select(docs.columns)) == rows_of(decontam.drop_contaminated(docs, bench))

@@ -9,7 +9,11 @@ into removal spans. No shuffle: documents never move.
 
 Defined results: null and word-free texts have no words, spans or items and stay as they are; null
 or word-free benchmark texts have no windows; repeated document rows are judged row by row; repeated
-or equal benchmark items all count, each item id once; other columns of the input are ignored.
+or equal benchmark items all count, each item id once; other columns of the input are ignored, and
+``drop_contaminated`` carries them whatever their names.
+
+Most words of most texts belong to no such run and are never indexed (README has the share): that
+changes no result, as an occurrence of a window is a run of the benchmark's words.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .common import whole
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -145,16 +150,16 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(df: DataFrame, queries: Queries, keep: list[str], shard_bytes: int) -> DataFrame:
-    """Scan ``text`` for a block of windows; pass ``keep`` on; merge with what earlier blocks found."""
+def _scan(df: DataFrame, queries: Queries, keep: list[str], shard_bytes: int, again: bool) -> DataFrame:
+    """Scan ``text`` for a block of windows; pass ``keep`` on; ``again``: merge with what earlier blocks found."""
     held = df.sparkSession.sparkContext.broadcast(queries)
     names = [*keep, N_WORDS, SPANS, ITEMS]
+    own = names[len(keep) - 1]
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    again = SPANS in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            texts = [(x or "").encode() for x in batch.column(own).to_pylist()]
             found = [r for a, b in shards(texts, shard_bytes) for r in held.value.scan(texts[a:b])]
             spans, items = [s for _, s, _ in found], [i for _, _, i in found]
             if again:
@@ -174,33 +179,38 @@ def _scan(df: DataFrame, queries: Queries, keep: list[str], shard_bytes: int) ->
     return df.mapInArrow(run, StructType([*fields, StructField(N_WORDS, LongType()), StructField(SPANS, SPAN_TYPE), StructField(ITEMS, ArrayType(StringType()))]))
 
 
-def blocks_of(benchmark: DataFrame, most: int) -> list[list[tuple[str, str | None]]]:
-    """Items as text ids, in blocks of about ``most`` words; rows without an id count as id ''."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
-    room = most
+def blocks_of(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
+    """Items as text ids, in blocks of about ``most`` words, read one by one; rows without an id count as id ''."""
+    block, room = [], most
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         size = len(text or "") // 2
-        if blocks[-1] and size > room:
-            blocks.append([])
-            room = most
+        if block and size > room:
+            yield block
+            block, room = [], most
         room -= size
-        blocks[-1].append((item, text))
-    return blocks
+        block.append((item, text))
+    yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``keep`` (default: all columns), number of words, merged word spans of benchmark windows, their item ids.
 
     The benchmark is a stated query set: it goes to the executors in blocks of at most ``block_words``
-    words (one block unless it is very large), each block against all documents.
+    words (one block unless it is very large), each block against all documents; the driver holds one
+    block at a time. Columns to keep must not have the names of the three that are added.
     """
     keep = docs.columns if keep is None else keep
-    blocks = blocks_of(benchmark, block_words)
-    out = docs
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = _scan(out, Queries(block, window), keep if last else list(dict.fromkeys([*keep, "text"])), shard_bytes)
-    return out
+    if taken := sorted({N_WORDS, SPANS, ITEMS} & {*keep}):
+        raise ValueError(f"columns of these names are added: {', '.join(taken)}")
+    own = "_bench_text"
+    while own in keep:
+        own += "_"
+    out = docs.select(*keep, F.col("text").alias(own))
+    scanned = False
+    for block in blocks_of(benchmark, block_words):
+        out = _scan(out, Queries(block, window), [*keep, own], shard_bytes, scanned)
+        scanned = True
+    return out.drop(own)
 
 
 def n_hit(spans: str = SPANS) -> Column:
@@ -255,4 +265,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents, with all their columns, that the rule does not call contaminated; decided row by row."""
-    return contamination(docs, benchmark).where(~is_contaminated()).select(*docs.columns)
+    carried = docs.select(whole(docs).alias("doc"), "text")
+    return contamination(carried, benchmark, ["doc"]).where(~is_contaminated()).select("doc.*")
