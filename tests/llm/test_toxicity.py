@@ -98,3 +98,40 @@ def test_without_labels_empty_and_clashing(spark, labelled, docs, empty, clashin
     model = toxicity.train(some, labels)
     assert rows_of(toxicity.score(clashing, model, ["doc_id"])) == rows_of(toxicity.score(docs, model, ["doc_id"]))
     assert toxicity.drop_toxic(clashing, labels).columns == clashing.columns
+
+
+def test_features_by_hand():
+    """Weights by exact or misspelled, abuse or quoted, their density, whether any is exact; word by word, without an automaton."""
+    import math
+    import re
+
+    terms = {"scoundrel": 1.5, "grumbler": 0.5, "bad": 2.0}
+    automaton = LexiconAutomaton(Lexicon(words=terms))
+    rnd = random.Random(9)
+    for _ in range(150):
+        words = [rnd.choice(["scoundrel", "Scoundrl", "grumblr", "bad", "bda", "he", "wrote", '"', "„", "plain", "word,", "x"]) for _ in range(rnd.randint(0, 60))]
+        text = " ".join(words).lower()
+        found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+        sums, weight, exact = [0.0] * 4, 0.0, False
+        for k, (w, a, b) in enumerate(found):
+            near = [(distance(w, t) == 0, v) for t, v in terms.items() if distance(w, t) <= (1 if 5 <= len(t) < 10 else 2 if len(t) >= 10 else 0)]
+            if near:
+                same, v = max(near)
+                left, right = text[found[max(0, k - 8)][1] : a], text[b : found[min(len(found) - 1, k + 8)][2]]
+                marks = any(c in left for c in '"„') and any(c in right for c in '"„')
+                said = any(x in toxicity.SAYING for x, _, _ in found[max(0, k - 8) : k])
+                sums[(0 if same else 2) + (marks or said)] += v
+                weight, exact = weight + v, exact or same
+        want = [math.log1p(x) for x in [*sums, 1000 * weight / max(50, len(found))]] + [float(exact)]
+        assert toxicity.features(" ".join(words), automaton) == pytest.approx(want)
+
+
+def test_a_labelled_id_in_many_rows_is_one_sample(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    again = docs.unionByName(docs.where("doc_id = 12").crossJoin(spark.range(500)).select("doc_id", "text")).unionByName(spark.createDataFrame([(12, "zz other text")], "doc_id long, text string"))
+    sizes = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda x, y: sizes.append(len(x)) or fit(x, y))
+    model = toxicity.train(again, labels)
+    assert model.weights and sizes == [labels.where(~toxicity.held_out()).count()]
+    assert toxicity.train(again, labels.unionByName(labels).unionByName(labels)) == model

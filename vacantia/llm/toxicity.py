@@ -1,8 +1,11 @@
 """Toxicity by a learned lexicon, met through Levenshtein automata, and its context.
 
-Fitting, on a bounded sample of labelled rows (``TRAIN_DOCS``; never on the held-out fifth):
-words and word stems that toxic texts use far more often than others make the lexicon. A small
-logistic model then weighs what the lexicon finds in the sample's texts.
+Fitting, on a bounded sample of labelled documents (``TRAIN_DOCS``, one text each; never on the
+held-out fifth): words and word stems that toxic texts use far more often than others make the
+lexicon. The model's size is bounded, too: the lexicon has at most ``TERMS`` terms, those that most
+toxic texts of the sample hold first, chosen from at most ``CANDIDATES``. A small logistic model then
+weighs what the lexicon finds in the sample's texts. These bounds concern the classifier alone: every
+document is scored whole.
 
 Scoring, on every whole text: the lexicon is a trie; its product with Levenshtein automata (one
 error for terms of ``FUZZY`` letters and more, two from ``FUZZIER``) is made deterministic state by
@@ -12,8 +15,9 @@ verb of saying) or abuse. Exact and misspelled finds, quoted and not, count apar
 
 Defined results: null counts as empty; a text without finds, the empty one too, gets the model's
 base score; without labelled rows of both kinds all scores are 0; a null doc_id counts as the empty
-string for the held-out rule; repeated rows and labels count as they stand (the labels of one
-document with different marks count toxic); other columns are ignored.
+string for the held-out rule; repeated rows are scored row by row; of a labelled id with several
+texts the smallest is learned from, once; the labels of one document with different marks count
+toxic; other columns are ignored, and ``drop_toxic`` carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from .common import whole
+
 #: Labelled rows that the classifier is fitted on, at most (the smallest seeded hashes).
 TRAIN_DOCS = 8_000
 FOLDS = 5
+#: Terms of the lexicon, and candidates for them, at most.
 TERMS = 400
 CANDIDATES = 20_000
 #: Toxic texts of the sample that hold a term: at least this many, and this share of them.
@@ -249,7 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     """Lexicon and weights from at most ``train_docs`` labelled documents outside the held-out fold."""
     marks = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").persist()
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text an id: however often an id stands in the table, the sample has train_docs rows at most
+    sample = held.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     try:
         lexicon = learn_lexicon(sample)
         if not lexicon.words and not lexicon.stems:
@@ -279,4 +288,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents, with all their columns, that score under 0.5."""
-    return score(docs, train(docs, labels), docs.columns, SCORE).where(F.col(SCORE) < 0.5).select(*docs.columns)
+    carried = docs.select(whole(docs).alias("doc"), "text")
+    return score(carried, train(docs, labels), ["doc"], SCORE).where(F.col(SCORE) < 0.5).select("doc.*")
