@@ -9,10 +9,11 @@
 3. The counts are joined back to the blocks' frequencies and summed per document.
 
 A pre-token of every document is one entry a block, not one a document, so frequent ones make no hot
-key; a task remembers the distinct pre-tokens of one bucket at a time. Blocks are made twice, which
-costs less than keeping them; a block that comes out differently is an error, not a wrong count.
+key; a task remembers the distinct pre-tokens of one bucket at a time. Blocks are made once and written
+to the shared folder, from where both sides of the join read them: whatever order a repeated task
+reads its documents in, both sides see the same blocks.
 Defined results: null counts as empty (0 bytes, 0 tokens); repeated documents are counted row
-by row; equal blocks share their counts; other columns are ignored; any length is counted whole
+by row; equal blocks share their counts; a doc_id is a long; other columns are ignored; any length is counted whole
 (a document longer than a block is a block by itself).
 """
 
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import write_shared
+
 BLOCK_BYTES = 8_000_000
 LIMIT = 1024
 LEAST_BUCKETS = 64
@@ -157,7 +160,7 @@ def blocks(docs: DataFrame, path: str, block_bytes: int, buckets: int) -> DataFr
             if texts:
                 yield pa.RecordBatch.from_pylist([_block(ids, texts, path, buckets)], _BLOCK_TYPES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCKS)
 
 
 def _count(path: str):
@@ -189,7 +192,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, counts = _unpack(row["sizes"]), _unpack(row["counts"]).astype(np.int64)
             pieces = np.concatenate([np.zeros(0, np.int64), *(_unpack(x["pieces"]) for x in row["found"] or [])])
             if len(pieces) != row["n_pretokens"]:
-                raise RuntimeError(f"block {row['block']} came out differently when it was read again")
+                raise RuntimeError(f"block {row['block']} has lost counts")
             # numbers are steps inside a document: running sums, less what stood before it
             steps = np.cumsum(_unpack(row["numbers"]), dtype=np.int64)
             ends = np.cumsum(sizes)
@@ -204,7 +207,7 @@ def token_counts(docs: DataFrame, path: str | None = None, block_bytes: int = BL
     """``doc_id, n_bytes, n_tokens`` of every document. More data wants more buckets: 4 a shuffle partition unless given."""
     path = path or tokenizer_path()
     buckets = buckets or max(LEAST_BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = blocks(docs, path, block_bytes, buckets)
+    rows = write_shared(blocks(docs, path, block_bytes, buckets), "token-blocks")
     asked = rows.select("block", F.explode("dealt").alias("d")).select("block", "d.bucket", "d.tokens")
     counted = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(path), "block string, bucket int, pieces binary")
     # equal blocks (repeated rows) ask alike and are answered alike
