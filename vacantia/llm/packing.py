@@ -12,7 +12,8 @@ cumulative segment lengths from 0 to the ids in use, positions that start at 0 w
 
 Defined results: null counts as empty, and an empty text is its end-of-text id alone; special
 strings in texts are ordinary text; repeated rows are packed each; an empty table gives no rows;
-other columns are ignored; any length is packed whole.
+a doc_id is a long; other columns are ignored; any length is packed whole. Which documents share a
+row depends on the blocks, and so on how the input's files are split; every id comes out once anyhow.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROW = 2048
 BLOCK_BYTES = 8_000_000
@@ -173,7 +175,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, row: int = ROW, blo
         if names:
             yield from _packed(names, ids, row, end)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FIELDS)
 
 
 def write_packed(docs: DataFrame, out: str, row: int = ROW) -> None:
