@@ -6,9 +6,14 @@ sum least. Reading tests the signature and every chunk's CRC, inflates, and undo
 with numpy. The hash scales the samples to 32 x 32 by block means, applies a two-dimensional cosine
 transform, and keeps one bit for each of the 64 lowest frequencies: above their median or not.
 
-One text at a time is in memory, a row at a time leaves; nothing is shuffled. Defined results: null
-counts as empty; an empty text is one row of 192 spaces; equal texts give equal values; other
-columns are ignored; any length is stored whole (IDAT chunks hold at most 1 MiB each).
+Two steps, each a column: ``store`` makes the binary column ``media``; ``describe`` reads that column
+back and makes the binary column ``feature``. Nothing is shuffled. Rows are filtered and compressed in
+strips of ``STRIP``, so a text of any length takes some four times its bytes; an Arrow batch of texts
+comes in, and rows go out once their images exceed ``BATCH_BYTES``.
+
+Defined results: null counts as empty; an empty text is one row of 192 spaces; equal texts give equal
+values; a doc_id is a long; other columns are ignored; any length is stored whole (IDAT chunks hold at
+most 1 MiB each).
 """
 
 from __future__ import annotations
@@ -21,12 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 IDAT_BYTES = 1 << 20
 LEVEL = 6
 SIDE, LOW = 32, 8
+STRIP = 4096
+BATCH_BYTES = 16 << 20
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -40,17 +48,24 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+def _filtered(rows: np.ndarray, above: np.ndarray) -> bytes:
+    """Rows behind the number of the filter that suits each; ``above`` is the row before the first."""
+    up = np.vstack((above[None, :], rows[:-1]))
+    left = np.hstack((np.zeros((len(rows), 1), np.uint8), rows[:, :-1]))
+    tries = np.stack((rows, rows - left, rows - up))  # filters 0, 1, 2; uint8 wraps as PNG asks
+    best = np.abs(tries.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+    return np.hstack((best[:, None].astype(np.uint8), tries[best, np.arange(len(rows))])).tobytes()
+
+
 def encode_png(payload: bytes) -> bytes:
     """8-bit grey PNG of the payload, rows of WIDTH samples."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    above = np.vstack((np.zeros((1, WIDTH), np.uint8), rows[:-1]))
-    left = np.hstack((np.zeros((len(rows), 1), np.uint8), rows[:, :-1]))
-    tries = np.stack((rows, rows - left, rows - above))  # filters 0, 1, 2; uint8 wraps as PNG asks
-    cost = np.abs(tries.view(np.int8).astype(np.int16)).sum(axis=2)
-    best = cost.argmin(axis=0)
-    lines = np.hstack((best[:, None].astype(np.uint8), tries[best, np.arange(len(rows))]))
-    packed = zlib.compress(lines.tobytes(), LEVEL)
-    parts = [_chunk(b"IDAT", packed[k : k + IDAT_BYTES]) for k in range(0, len(packed), IDAT_BYTES)]
+    deflate, above, packed = zlib.compressobj(LEVEL), np.zeros(WIDTH, np.uint8), bytearray()
+    for k in range(0, len(rows), STRIP):
+        packed += deflate.compress(_filtered(rows[k : k + STRIP], above))
+        above = rows[min(k + STRIP, len(rows)) - 1]
+    packed += deflate.flush()
+    parts = [_chunk(b"IDAT", bytes(packed[k : k + IDAT_BYTES])) for k in range(0, len(packed), IDAT_BYTES)]
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     return b"".join([SIGNATURE, _chunk(b"IHDR", head), *parts, _chunk(b"IEND", b"")])
 
@@ -132,51 +147,66 @@ def _cosines() -> np.ndarray:
 _COS = _cosines()
 
 
-def _edges(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of SIDE blocks over size rows; blocks of fewer rows than one repeat a row."""
-    at = np.arange(SIDE + 1) * size // SIDE
-    begin = np.minimum(at[:-1], size - 1)
-    return begin, np.maximum(at[1:] - at[:-1], 1)
-
+def block_means(image: np.ndarray) -> np.ndarray:
+    """The image scaled to SIDE x SIDE; where it has fewer rows or columns, they repeat."""
+    out = image
+    for axis in (0, 1):
+        size = image.shape[axis]
+        at = np.arange(SIDE + 1) * size // SIDE
+        begin, held = np.minimum(at[:-1], size - 1), np.maximum(at[1:] - at[:-1], 1)
+        sums = np.add.reduceat(out, begin, axis=axis, dtype=np.float64)
+        out = sums / (held[:, None] if axis == 0 else held[None, :])
+    return out
 
-def cosine_hash(image: np.ndarray) -> str:
-    """64 bits as 16 hex digits: which of the lowest 8 x 8 cosine coefficients exceed their median."""
-    sums = np.vstack((np.zeros((1, image.shape[1])), np.cumsum(image, axis=0, dtype=np.float64)))
-    r, nr = _edges(image.shape[0])
-    c, nc = _edges(image.shape[1])
-    sums = np.hstack((np.zeros((SIDE, 1)), np.cumsum(sums[r + nr] - sums[r], axis=1)))
-    small = (sums[:, c + nc] - sums[:, c]) / (nr[:, None] * nc[None, :])
-    low = np.round(_COS @ small @ _COS.T, 6).ravel()
-    bits = low > np.median(low[1:])
-    return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
+def cosine_hash(image: np.ndarray) -> bytes:
+    """64 bits: which of the lowest 8 x 8 cosine coefficients exceed their median (all but the first's)."""
+    low = np.round(_COS @ block_means(image) @ _COS.T, 6).ravel()
+    return np.packbits(low > np.median(low[1:])).tobytes()
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+STORED = "doc_id long, n_bytes long, media binary"
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature binary"
+_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
-def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Store every text as PNG, read the stored bytes back, describe what was read.
 
-    ``keep_media`` adds the binary column ``media``.
-    """
-    schema = SCHEMA + ", media binary" * keep_media
+def store(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media``: every whole text as a PNG in a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows, media = [], []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                payload, size = payload_of(text.as_py())
-                stored = encode_png(payload)
-                image = decode_png(stored)
-                back = image.tobytes()
-                if keep_media:
-                    media.append(stored)
-                rows.append((doc.as_py(), size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(image)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            if keep_media:
-                columns, names = [*columns, pa.array(media, pa.binary())], [*names, "media"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                payload, n_bytes = payload_of(text.as_py())
+                rows.append({"doc_id": doc.as_py(), "n_bytes": n_bytes, "media": encode_png(payload)})
+                size += len(rows[-1]["media"])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _STORED)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _STORED)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED)
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """What the images of a column ``media`` hold once they are read back, and their hash as the binary column ``feature``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in DESCRIBED.split(", ")]
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        types = [kinds[f.split()[1]] for f in DESCRIBED.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc, size, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = media.as_py()
+                image = decode_png(data)
+                back = memoryview(image).cast("B")
+                rows.append((doc, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(image)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, DESCRIBED)
+
+
+def digest(described: DataFrame) -> DataFrame:
+    return described.withColumn("feature", F.lower(F.hex("feature")))

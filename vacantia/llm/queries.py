@@ -17,7 +17,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"))
+    return media.digest(media.describe(media.store(table(spark, sf_dir, "documents"))))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ c AS (
   FROM t GROUP BY conv_id),
 u AS (SELECT turns, n, text, min(conv_id) AS conv_id, count(*) AS n_logged FROM c GROUP BY turns, n, text),
 p AS (SELECT DISTINCT turns[1 : k] AS turns FROM u, unnest(range(1, n)) AS x(k))
-SELECT conv_id, CAST(0 AS BIGINT) AS chunk, n AS n_turns, n_logged, n AS chunk_turns, text
+SELECT conv_id, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS part, n AS n_turns, n_logged, n AS chunk_turns, text
 FROM u WHERE turns NOT IN (SELECT turns FROM p)
 """
 
@@ -127,25 +127,31 @@ f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
 t AS (
   SELECT source, source_size, place, coalesce(least(CAST(2 * source_size AS DOUBLE), (SELECT level FROM f) * weight), CAST(2 * source_size AS DOUBLE)) AS target FROM l),
 b AS (
-  SELECT greatest(1, CAST(floor(sum(target) / 65536) AS BIGINT)) AS block, sum(target) AS total FROM t),
-seats AS (SELECT block, CAST(floor(total / block + 0.5) AS BIGINT) AS seats FROM b),
+  SELECT greatest(1, CAST(floor(sum(target) / 65536) AS BIGINT)) AS block FROM t),
+u AS (SELECT t.*, block, CASE WHEN block > 1 AND target < 64 * block THEN 1 ELSE block END AS unit FROM t, b),
+seats AS (SELECT CAST(floor(coalesce(sum(target) FILTER (unit = block), 0) / any_value(block) + 0.5) AS BIGINT) AS seats FROM u),
 q AS (
   SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place) AS seat
-  FROM t, seats, unnest(range(0, CAST(floor(target / block) AS BIGINT) + 3)) AS x(k) WHERE target > 0),
-g AS (SELECT place, count(*) AS blocks FROM q, seats WHERE seat <= seats GROUP BY place),
+  FROM u, unnest(range(0, CAST(floor(target / block) AS BIGINT) + 3)) AS x(k) WHERE target > 0 AND unit = block),
+h AS (SELECT place, CAST(floor((seat - 1) * 8 / seats) AS INTEGER) AS shard FROM q, seats WHERE seat <= seats),
+g AS (SELECT place, count(*) AS blocks, list_transform(range(0, 8), lambda k: len(list_filter(list(shard), lambda s: s <= k))) AS upto FROM h GROUP BY place),
+v AS (
+  SELECT u.*, upto, least(CASE WHEN unit = block THEN coalesce(g.blocks, 0) * unit ELSE CAST(floor(target + 0.5) AS BIGINT) END, 2 * source_size) AS words,
+         CASE WHEN source_size > 0 THEN CAST('0x' || substr(md5('17:' || coalesce(source, '')), 1, 15) AS BIGINT) % source_size // unit * unit ELSE 0 END AS start
+  FROM u LEFT JOIN g ON u.place = g.place),
 p AS (
-  SELECT t.*, least(coalesce(g.blocks, 0) * block, 2 * source_size) AS words,
-         CASE WHEN source_size > 0 THEN CAST('0x' || substr(md5('17:' || coalesce(source, '')), 1, 15) AS BIGINT) % source_size // block * block ELSE 0 END AS start
-  FROM t LEFT JOIN g ON t.place = g.place, seats),
+  SELECT *, CASE WHEN unit = block THEN list_transform(upto, lambda e: e * unit) ELSE list_transform(range(1, 9), lambda k: CAST(floor(words * k / 8) AS BIGINT)) END AS ends FROM v),
 o AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.words, p.start,
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.words, p.start, p.ends,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY p.place ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 r AS (SELECT *, a + size AS z, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS rounds FROM o),
-e AS (SELECT *, start + words - rounds * source_size AS stop FROM r)
-SELECT doc_id, size, source_size, target,
-       CAST(rounds * size + greatest(0, least(z, stop) - greatest(a, start)) + greatest(0, least(z, stop - source_size) - a) AS BIGINT) AS taken
-FROM e
+e AS (SELECT *, start + words - rounds * source_size AS stop FROM r),
+m AS (
+  SELECT doc_id, size, source_size, target, ends, CASE WHEN z > start THEN greatest(a, start) - start ELSE a + source_size - start END AS first,
+         CAST(rounds * size + greatest(0, least(z, stop) - greatest(a, start)) + greatest(0, least(z, stop - source_size) - a) AS BIGINT) AS taken
+  FROM e)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CAST(len(list_filter(ends, lambda x: x <= first)) AS INTEGER) END AS shard FROM m
 """
 
 ORACLE_SQL["op10_url_filters"] = r"""
