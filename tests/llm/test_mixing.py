@@ -5,9 +5,20 @@ import pytest
 from pyspark.sql import functions as F
 from vacantia.llm import mixing
 
+from . import brute
 from .conftest import rows_of
 
 
+def test_whole_result_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    more = [(k, "w " * (k % 60), f"s{k % 5}" if k % 9 else "rare") for k in range(400)]
+    for some, blocks in ((rows, mixing.BLOCKS), (more, 700), (more + [(900, "a b", "x")], 900)):
+        got = mixing.mix(spark.createDataFrame(some, "doc_id long, text string, source string"), blocks=blocks)
+        want = brute.mixed(some, blocks=blocks)
+        assert rows_of(got.select("doc_id", "size", "source_size", F.round("target", 6), "taken", "shard")) == sorted(((a, b, c, round(t, 6), n, s) for a, b, c, t, n, s in want), key=repr)
+    assert {s for *_, s in want} >= set(range(8))
+
+
 def filled(sizes):
     """Targets by resharing until none is above its cap."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)

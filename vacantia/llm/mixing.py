@@ -6,18 +6,23 @@ weight (water filling: one level L, target = min(cap * size, L * weight)).
 
 The mix is made of equal blocks of words. Blocks go to the sources one by one, each to the highest
 quotient target / (2 * blocks so far + 1); the order of the seats fills the shards one after the
-other, so every shard has an integer quota of each source. A block grows with the corpus, so sources whose target is
-under ``FEW`` blocks have no seats among these: they take their target rounded to a word (the same
-rule at a divisor of one word), none is rounded away, and the others share the remaining seats. Within a source the documents stand in a
-seeded order; its blocks are taken from a seeded start block onward, around the end, so that at most
-the first and last document of the run are cut. A source taken more than once over goes around again.
+other, so every shard has an integer quota of each source. A block grows with the corpus, so sources
+whose target is under ``FEW`` blocks have no seats among these: they take their target rounded to a
+word (the same rule at a divisor of one word) and give each shard an equal part; none is rounded away,
+and the others share the remaining seats.
+
+Within a source the documents stand in a seeded order, cut into blocks; blocks are selected from a
+seeded start block onward, around the end, first as many as shard 0 has seats, then shard 1, and so on.
+So the blocks of a shard are a seeded choice, and only the documents at the ends of a shard's run are
+cut between shards. A source taken more than once over goes around again. ``shard`` is the shard that
+takes a document's first taken word (null if none is taken).
 
 Words before a document are counted in two steps (hash ranges of a source, then within a range), so
 no task holds a whole source. The driver holds two numbers.
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a source of its
 own; repeated rows are laid out one by one; an empty table gives no rows; sources without words have
-target 0; other columns are ignored.
+target 0; other columns are ignored, and ``apply_mix`` carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_space_words, cut
+from .common import count_space_words, cut, whole
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -36,6 +41,8 @@ BLOCKS = 65_536
 FEW = 64
 SHARDS = 8
 SEED = 17
+#: Plans of up to this number of sources (some hundred bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Hash ranges of a source, as bits.
 RANGE_BITS = 12
 
@@ -71,7 +78,7 @@ def quotas(wanted: DataFrame, block: int, seats: int, shards: int = SHARDS) -> D
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of every row."""
+    """``doc_id, source, size, source_size, target, taken, shard`` of every row."""
     rows = cut(docs.select("doc_id", "source", count_space_words(F.col("text")).alias("size")))
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     wanted = targets(sizes, weights, share, cap)
@@ -82,12 +89,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     wanted = wanted.withColumn("unit", unit)
     large = wanted.where(F.col("unit") == block)
     seats = int(large.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] / block + 0.5)
-    given = quotas(large, block, seats, shards).groupBy("at").agg(F.sum("blocks").alias("blocks"))
+    upto = [F.sum(F.when(F.col("shard") <= k, F.col("blocks")).otherwise(0)) for k in range(shards)]
+    given = quotas(large, block, seats, shards).groupBy("at").agg(F.sum("blocks").alias("blocks"), F.array(*upto).alias("upto"))
     size = F.col("source_size")
-    blocks_of = F.when(F.col("unit") == block, F.coalesce("blocks", F.lit(0))).otherwise(F.floor(F.col("target") + 0.5))
+    seated = F.col("unit") == block
+    blocks_of = F.when(seated, F.coalesce("blocks", F.lit(0))).otherwise(F.floor(F.col("target") + 0.5))
     words = F.least(blocks_of * F.col("unit"), cap * size)
     start = F.when(size > 0, F.floor((_hash60(F.col("source")) % size) / F.col("unit")) * F.col("unit")).otherwise(0).cast("long")
-    plan = cut(wanted.join(given, "at", "left").select("at", F.col("source").alias("own"), "source_size", "target", words.alias("words"), start.alias("start")))
+    # where each shard's part of the run ends, in words
+    ends = F.when(seated, F.transform("upto", lambda e: e * F.col("unit"))).otherwise(F.array(*[F.floor(words * (k + 1) / shards) for k in range(shards)]))
+    plan = cut(wanted.join(given, "at", "left").select("at", F.col("source").alias("own"), "source_size", "target", words.alias("words"), start.alias("start"), ends.alias("ends")))
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
 
     laid = rows.join(plan, rows["source"].eqNullSafe(plan["own"])).withColumn("turn", _hash60(F.col("doc_id")))
     laid = laid.withColumn("range", F.shiftright("turn", 60 - RANGE_BITS))
@@ -101,7 +114,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rounds = F.when(size > 0, F.floor(F.col("words") / size)).otherwise(0)
     stop = F.col("start") + F.col("words") - rounds * size
     run = F.greatest(F.lit(0), F.least(end, stop) - F.greatest(begin, F.col("start"))) + F.greatest(F.lit(0), F.least(end, stop - size) - begin)
-    return counted.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + run).cast("long").alias("taken"))
+    first = F.when(end > F.col("start"), F.greatest(begin, F.col("start")) - F.col("start")).otherwise(begin + size - F.col("start"))
+    taken = counted.withColumns({"taken": (rounds * F.col("size") + run).cast("long"), "offset": first})
+    shard = F.when(F.col("taken") > 0, F.size(F.filter("ends", lambda e: e <= F.col("offset"))))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", shard.alias("shard"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -112,6 +128,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     """
     plan = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / (F.col("size") * F.col("n")) + 0.5)).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies")).where("_copies > 0")
-    same = docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]) & (count_space_words(docs["text"]) == plan["_size"])
-    return docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("of"), copies.alias("copies")).where("copies > 0")
+    carried = docs.select(whole(docs).alias("doc"), "doc_id", "source", count_space_words(docs["text"]).alias("size"))
+    same = carried["doc_id"].eqNullSafe(plan["id"]) & carried["source"].eqNullSafe(plan["from"]) & (carried["size"] == plan["of"])
+    return carried.join(plan, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
