@@ -39,3 +39,16 @@ def test_no_rules_empty_and_clashing(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0
     assert {(r.rule, r.verdict) for r in url_filters.judge(pages, rules.limit(0)).collect()} == {(None, "allow")}
     assert rows_of(url_filters.judge(pages.withColumns({n: F.lit("q") for n in ("host", "path", "key", "rule", "active", "stack")}), rules)) == rows_of(url_filters.judge(pages, rules))
+
+
+def test_stack_is_carried_over_ranges(spark, monkeypatch):
+    """Deep rules whose intervals span many ranges, and rules that end inside one."""
+    rnd = random.Random(2)
+    name = lambda n: ".".join(rnd.choice("abc") for _ in range(n))
+    rules = [("a/", "block"), ("b.a/", "allow"), ("c.b.a/x", "block"), ("a.c.b.a/", "allow"), ("b/", "block"), ("c/x", "block"), ("c.c/", "allow")]
+    rules += [(f"{name(rnd.randint(2, 5))}/{rnd.choice(['', 'x'])}", rnd.choice(["allow", "block"])) for _ in range(40)]
+    urls = [f"http://{name(rnd.randint(1, 6))}/{rnd.choice(['', 'x', 'y'])}" for _ in range(900)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(url_filters, "HOSTS", 3)
+    got = url_filters.judge(pages, url_filters.rule_table(spark, rules)).collect()
+    assert {(r.page_id, r.rule, r.verdict) for r in got} == {(k, *brute(u, rules)[2:]) for k, u in enumerate(urls)}
