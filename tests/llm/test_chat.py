@@ -41,3 +41,18 @@ def test_empty_and_clashing(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b")], TURNS)
     assert chat.format_chats(rows.limit(0)).count() == 0
     assert rows_of(chat.format_chats(rows.withColumns({n: F.lit(1) for n in ("n", "h1", "block", "conv", "at")}))) == rows_of(chat.format_chats(rows))
+
+
+def test_rows_without_an_id_are_divided(spark):
+    """Thousands of turns without conv_id, under few numbers: one conversation by definition, in parts of bounded size."""
+    rows = [(None, k % 3, "user", f"t{k}") for k in range(3000)] + [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "a")]
+    turns = spark.createDataFrame(rows, TURNS)
+    got = chat.format_chats(turns, most=200).collect()
+    none = sorted((r for r in got if r.conv_id is None), key=lambda r: (r.chunk, r.part))
+    assert sum(r.chunk_turns for r in none) == 3000 == none[0].n_turns and max(r.chunk_turns for r in none) < 200
+    whole = [r for r in chat.format_chats(turns, most=10_000).collect() if r.conv_id is None]
+    assert len(whole) == 1 and whole[0].text == "".join(r.text for r in none)
+    assert [(r.conv_id, r.n_turns) for r in got if r.conv_id is not None] == [(1, 2)]
+    longer = spark.createDataFrame([(5, *r[1:]) for r in rows[:3000]] + [(5, 9, "user", "end")], TURNS)
+    again = chat.format_chats(turns.unionByName(longer), most=200).collect()
+    assert {(r.conv_id, r.n_turns) for r in again} == {(5, 3001), (1, 2)}
