@@ -111,19 +111,22 @@ DESCRIPTION_LIMIT = 20_000
 NESTING = ("@graph", "itemListElement", "item", "mainEntity", "hasPart")
 
 
-def _postings(node, depth: int, out: list[dict]) -> None:
-    if depth > DEPTH:
-        return
-    if isinstance(node, list):
-        for x in node:
-            _postings(x, depth + 1, out)
-    elif isinstance(node, dict):
-        kinds = node.get("@type")
-        if any(str(k).lower() == "jobposting" for k in (kinds if isinstance(kinds, list) else [kinds])):
-            out.append(node)
-        for key in NESTING:
-            if key in node:
-                _postings(node[key], depth + 1, out)
+def _job_nodes(root) -> list[dict]:
+    """Nodes typed as job postings, in the order of reading, down to a depth."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        inner = []
+        if isinstance(node, list):
+            inner = node
+        elif isinstance(node, dict):
+            kinds = node.get("@type")
+            if "jobposting" in {str(k).lower() for k in (kinds if isinstance(kinds, list) else [kinds])}:
+                out.append(node)
+            inner = [node[k] for k in NESTING if k in node]
+        if depth < DEPTH:
+            todo += [(x, depth + 1) for x in reversed(inner)]
+    return out
 
 
 def postings_of(html: str | None) -> list[dict]:
@@ -131,7 +134,7 @@ def postings_of(html: str | None) -> list[dict]:
     out: list[dict] = []
     for block in _LD.findall(html or ""):
         try:
-            _postings(json.loads(re.sub("^<!--|-->\\Z", "", trim(block))), 0, out)
+            out += _job_nodes(json.loads(re.sub("^<!--|-->\\Z", "", trim(block))))
         except ValueError:
             continue
     return out

@@ -11,7 +11,10 @@ from ..functions import dates, text
 
 ROLLING_DAYS = 30
 # Stop words of market names, and employers known by names of another kind.
-STOP_WORDS = "the inc llc ltd limited pvt private corp corporation company co group india technologies technology solutions services global international plc llp and of com".split()
+STOP_WORDS = [
+    "the", "inc", "llc", "ltd", "limited", "pvt", "private", "corp", "corporation", "company", "co", "group", "india", "technologies", "technology", "solutions", "services", "global",
+    "international", "plc", "llp", "and", "of", "com",
+]
 NAME_ALIASES = {
     "pricewaterhousecoopers": ["pwc"], "deutschebank": ["db"], "standardchartered": ["standard"], "spglobal": ["spgi"], "jonesianglasalle": ["jll"],
     "merck": ["msd"], "johnsonandjohnson": ["jj"], "wellsfargo": ["wf"], "northropgrumman": ["ngc"],

@@ -20,17 +20,20 @@ from .profile import Profile, validate_profile
 
 # Titles of role families, generic ones, and the words that corroborate these.
 TITLES = {
-    "backend": "platform engineer,api engineer,api developer,distributed systems engineer,server-side engineer,services engineer,software engineer,software developer,application developer".split(","),
-    "frontend": "ui engineer,web engineer,web developer,client engineer,software engineer".split(","),
-    "data": "data engineer,analytics engineer,machine learning engineer,ml engineer,data platform engineer".split(","),
-    "infrastructure": "infrastructure engineer,cloud engineer,devops engineer,site reliability engineer,sre,platform engineer".split(","),
-}
+    "backend": [
+        "platform engineer", "api engineer", "api developer", "distributed systems engineer", "server-side engineer", "services engineer", "software engineer", "software developer",
+        "application developer",
+    ],
+    "frontend": ["ui engineer", "web engineer", "web developer", "client engineer", "software engineer"],
+    "data": ["data engineer", "analytics engineer", "machine learning engineer", "ml engineer", "data platform engineer"],
+    "infrastructure": ["infrastructure engineer", "cloud engineer", "devops engineer", "site reliability engineer", "sre", "platform engineer"],
+}
 GENERIC_TITLES = ["software engineer", "software developer"]
 SIGNALS = {
-    "backend": "backend,api,java,golang,python,node.js,spring,microservices,distributed systems".split(","),
-    "frontend": "frontend,front-end,javascript,typescript,react,angular,vue,css".split(","),
-    "data": "data pipeline,analytics,machine learning,spark,airflow,dbt,snowflake".split(","),
-    "infrastructure": "infrastructure,cloud,aws,azure,gcp,kubernetes,terraform,site reliability,devops".split(","),
+    "backend": ["backend", "api", "java", "golang", "python", "node.js", "spring", "microservices", "distributed systems"],
+    "frontend": ["frontend", "front-end", "javascript", "typescript", "react", "angular", "vue", "css"],
+    "data": ["data pipeline", "analytics", "machine learning", "spark", "airflow", "dbt", "snowflake"],
+    "infrastructure": ["infrastructure", "cloud", "aws", "azure", "gcp", "kubernetes", "terraform", "site reliability", "devops"],
 }
 # Fixed patterns: words of a requested role that name a family.
 ROLE_WORDS = {
@@ -44,7 +47,7 @@ _Z = r"(?![A-Za-z0-9_])"
 SPECIALIST = rf"(?i){_A}(?:product manager|qa|quality assurance|test|support|site reliability|sre|devops|front(?:end|-end)|data|machine learning|ai|ml){_Z}"
 ENGINEER = rf"(?i){_A}(?:engineer|developer){_Z}"
 GENERIC_SOFTWARE = rf"(?i){_A}(?:software engineer|software developer|application developer|full[- ]stack developer){_Z}"
-KEYWORD_STOP = "engineer engineering developer development senior staff principal lead technology".split()
+KEYWORD_STOP = ["engineer", "engineering", "developer", "development", "senior", "staff", "principal", "lead", "technology"]
 FIT_RANK = {"strong": 3, "good": 2, "stretch": 1}
 
 
