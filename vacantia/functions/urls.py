@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Path words that are no tokens, hosts that are no tenants.
-RESERVED = "my-applications sign-in signin login register privacy cookie-policy job-alerts search".split()
-WORKABLE_PATHS = "j api jobs embed assets".split()
+RESERVED = ["my-applications", "sign-in", "signin", "login", "register", "privacy", "cookie-policy", "job-alerts", "search"]
+WORKABLE_PATHS = ["j", "api", "jobs", "embed", "assets"]
 NO_TENANT = {
-    "workable": "www apply help resources jobs careers api app assets cdn status developers blog partners".split(),
-    "breezy": "www app api help blog".split(),
-    "freshteam": "www app api support help blog".split(),
-    "keka": "www app academy developers help cdn api".split(),
-    "zohorecruit": "www help static img js css accounts".split(),
+    "workable": ["www", "apply", "help", "resources", "jobs", "careers", "api", "app", "assets", "cdn", "status", "developers", "blog", "partners"],
+    "breezy": ["www", "app", "api", "help", "blog"],
+    "freshteam": ["www", "app", "api", "support", "help", "blog"],
+    "keka": ["www", "app", "academy", "developers", "help", "cdn", "api"],
+    "zohorecruit": ["www", "help", "static", "img", "js", "css", "accounts"],
 }
 SITES = ["in-en", "us-en"]
 
@@ -117,7 +117,7 @@ def owned_by(url: Column, domain: Column) -> Column:
 
 
 # Second-level labels under two-letter countries.
-SECOND_LEVEL = "co com org net ac gov edu".split()
+SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu"]
 
 
 def registrable_domain(h: Column) -> Column:
@@ -137,8 +137,11 @@ def name_from_token(token: Column) -> Column:
 
 
 # Words of careers hosts, and the hosts that are tried anyway.
-CAREER_WORDS = "careers career jobs job apply hiring talent talents recruit recruiting recruitment join joinus workwithus opportunities vacancies openings".split()
-CONVENTIONAL = "careers jobs apply hiring talent recruit join".split()
+CAREER_WORDS = [
+    "careers", "career", "jobs", "job", "apply", "hiring", "talent", "talents", "recruit", "recruiting", "recruitment", "join", "joinus", "workwithus",
+    "opportunities", "vacancies", "openings",
+]
+CONVENTIONAL = ["careers", "jobs", "apply", "hiring", "talent", "recruit", "join"]
 
 
 def careers_host(subdomain: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
@@ -117,12 +117,14 @@ def ngrams(clauses: DataFrame, clause: str, stop_words: list[str], n: int, top:
 
 
 def term_prevalence(clauses: DataFrame, id_: str, clause: str, terms: list[str], examples: int = 3) -> DataFrame:
-    """Per term: mentions, distinct documents, first examples by id; by documents, mentions, term."""
+    """Per term: mentions, distinct documents, the first documents by id as examples; by documents, mentions, term."""
     counts = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), text.count_phrase(F.col(clause), t).alias("mentions")) for t in terms]))
     hits = clauses.select(id_, counts.alias("c")).select(id_, "c.term", "c.mentions").where("mentions > 0")
     per_doc = hits.groupBy("term", id_).agg(F.sum("mentions").alias("mentions"))
-    found = per_doc.groupBy("term").agg(F.sum("mentions").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(id_).alias("first"))
-    return found.orderBy(F.desc("documents"), F.desc("mentions"), "term") if examples else found
+    found = per_doc.groupBy("term").agg(F.sum("mentions").alias("mentions"), F.count(F.lit(1)).alias("documents"))
+    turn = F.row_number().over(Window.partitionBy("term").orderBy(id_))
+    first = per_doc.withColumn("_turn", turn).where(F.col("_turn") <= examples).groupBy("term").agg(F.array_sort(F.collect_list(id_)).alias("examples"))
+    return found.join(first, "term", "left").orderBy(F.desc("documents"), F.desc("mentions"), "term")
 
 
 def title_signal(title: Column) -> tuple[Column, Column]:

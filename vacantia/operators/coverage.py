@@ -64,10 +64,27 @@ def freshness_bucket(at: Column, now: datetime | Column) -> Column:
     return F.when(age < 0, FRESHNESS[0]).when(age <= day, FRESHNESS[1]).when(age <= 7 * day, FRESHNESS[2]).when(age <= 14 * day, FRESHNESS[3]).otherwise(FRESHNESS[4])
 
 
-def freshness(partitions: DataFrame, key: str, at: str, now: datetime | Column) -> DataFrame:
-    """Partitions by age: how many, and which, in order of their key."""
+def freshness(partitions: DataFrame, at: str, now: datetime | Column) -> DataFrame:
+    """Partitions by age: how many, and the oldest and newest of each bucket."""
     dealt = partitions.withColumn("bucket", freshness_bucket(F.col(at), now))
-    return dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("oldest"), F.max(at).alias("newest"), F.array_sort(F.collect_list(key)).alias("keys"))
+    return dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("oldest"), F.max(at).alias("newest"))
+
+
+def freshness_members(partitions: DataFrame, key: str, at: str, now: datetime | Column) -> DataFrame:
+    """Which partitions lie in which bucket, a row each, so that no bucket is one row."""
+    return partitions.select(freshness_bucket(F.col(at), now).alias("bucket"), key)
+
+
+def corpus_metrics(catalog: DataFrame, jobs: DataFrame, country: str) -> DataFrame:
+    """One row: companies, jobs, jobs open to a country."""
+    held = jobs.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(geo.eligible_for(country)).alias("country_jobs"))
+    return catalog.agg(F.count(F.lit(1)).alias("companies")).crossJoin(held)  # one row with one row
+
+
+def metrics_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed between two one-row metrics."""
+    old = before.select(*[F.col(c).alias(f"_{c}") for c in before.columns])
+    return after.crossJoin(old).select(*[(F.col(c) - F.col(f"_{c}")).alias(c) for c in before.columns])  # one row with one row
 
 
 def staleness(partitions: DataFrame, at: str, now: datetime | Column, max_age_days: int = 14) -> DataFrame:
@@ -87,7 +104,8 @@ def valid_snapshot(crawl: DataFrame) -> Column:
 
 def coverage_report(catalog: DataFrame, candidates: DataFrame, leads: DataFrame, jobs: DataFrame, partitions: DataFrame, country: str, now: datetime) -> dict[str, DataFrame]:
     """The sections of the country report, each a DataFrame; a malformed input fails the whole report."""
-    from .registry import lead_state
+    from .registry import state_histograms
+    from .verification import promoted
 
     bad = jobs.where(F.col("id").isNull() | F.col("title").isNull() | F.col("eligible_countries").isNull() | ~F.col("eligibility_confidence").isin(CONFIDENCE))
     if bad.limit(1).count():
@@ -109,9 +127,11 @@ def coverage_report(catalog: DataFrame, candidates: DataFrame, leads: DataFrame,
         "confidence_all": pivot_counts(indexed, "eligibility_confidence", CONFIDENCE),
         "confidence_eligible": pivot_counts(eligible, "eligibility_confidence", CONFIDENCE),
         "country": country_coverage(jobs, catalog, [country]),
-        "freshness": freshness(partitions, "source_slug", "fetched_at", now),
+        "freshness": freshness(partitions, "fetched_at", now),
+        "freshness_members": freshness_members(partitions, "source_slug", "fetched_at", now),
         "candidates": candidates.agg(F.count(F.lit(1)).alias("candidates")),
-        "leads": leads.withColumn("state", lead_state()).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+        "promoted_candidates": promoted(candidates, catalog).agg(F.count(F.lit(1)).alias("promoted_candidates")),
+        "leads": state_histograms(leads, now),
     }
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 
 ROLLING_DAYS = 30
+PLACES = 5
 # Stop words of market names, and employers known by names of another kind.
 STOP_WORDS = [
     "the", "inc", "llc", "ltd", "limited", "pvt", "private", "corp", "corporation", "company", "co", "group", "india", "technologies", "technology", "solutions", "services", "global",
@@ -26,7 +27,9 @@ def employer_signals(posts: DataFrame, name: str, posted: str, category: str, pl
     rows = posts.dropDuplicates([id_]) if id_ else posts
     keyed = rows.where(F.length(F.trim(name)) >= 2).withColumn("employer", F.lower(F.trim(name)))
     places = keyed.groupBy("employer", place).agg(F.min(ordinal).alias("_first")).where(F.coalesce(place, F.lit("")) != "")
-    first_places = places.groupBy("employer").agg(F.slice(F.array_sort(F.collect_list(F.struct("_first", place))), 1, 5).alias("_places"))
+    turn = F.row_number().over(Window.partitionBy("employer").orderBy("_first", place))
+    few = places.withColumn("_turn", turn).where(F.col("_turn") <= PLACES)  # ranked before they are gathered
+    first_places = few.groupBy("employer").agg(F.array_sort(F.collect_list(F.struct("_first", place))).alias("_places"))
     found = keyed.groupBy("employer").agg(
         F.min_by(F.trim(name), ordinal).alias("name"), F.count(F.lit(1)).alias("postings"), F.max(posted).alias("latest"), F.array_sort(F.collect_set(category)).alias("categories")
     )

@@ -48,6 +48,8 @@ SPECIALIST = rf"(?i){_A}(?:product manager|qa|quality assurance|test|support|sit
 ENGINEER = rf"(?i){_A}(?:engineer|developer){_Z}"
 GENERIC_SOFTWARE = rf"(?i){_A}(?:software engineer|software developer|application developer|full[- ]stack developer){_Z}"
 KEYWORD_STOP = ["engineer", "engineering", "developer", "development", "senior", "staff", "principal", "lead", "technology"]
+# Requirement, skills that carry over to it, by which kind; the table is empty until an edge has a rationale.
+TRANSFERS: list[tuple[str, str, str]] = []
 FIT_RANK = {"strong": 3, "good": 2, "stretch": 1}
 
 
@@ -260,13 +262,38 @@ def match_jobs(jobs: DataFrame, profile: Profile, intent: Intent, now: datetime,
     return shown, scored.where(F.size("reasons") > 0).select("id", "reasons")
 
 
-def recommend(jobs: DataFrame, profile: Profile, intent: Intent, now: datetime, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Matches of the first window with enough of them, and its one-row description; scored once for all windows."""
+def best_of(scored: DataFrame, intent: Intent, now: datetime, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Matches of the first window with enough of them, in order, and the window's one-row description."""
     from . import search
 
-    timeless = Intent(**{**intent.__dict__, "max_age_days": 0})
-    scored = score_jobs(jobs, profile, timeless, now).where(F.size("reasons") == 0)
     windows = dates.CASCADE if intent.max_age_days is None else (intent.max_age_days,)
     inside = search.in_cascade(scored, "updated_at", now, windows)
     best = inside.orderBy(F.desc("evidence_percent"), fit_rank(F.col("fit")).desc(), F.desc("score"), F.desc_nulls_last("updated_at"), "ordinal").limit(limit)
     return best.withColumn("description", search.excerpt(F.col("description"))), search.cascade_steps(scored, "updated_at", now, windows)
+
+
+def recommend(jobs: DataFrame, profile: Profile, intent: Intent, now: datetime, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``best_of`` all jobs without a reason against them; scored once for all windows."""
+    scored = score_jobs(jobs, profile, Intent(**{**intent.__dict__, "max_age_days": 0}), now)
+    return best_of(scored.where(F.size("reasons") == 0), intent, now, limit)
+
+
+def filtered_out(jobs: DataFrame, intent: Intent, now: datetime) -> DataFrame:
+    """``id, reasons`` of the jobs that the hard filters of an intent keep out; nothing is scored for it."""
+    return jobs.select("id", hard_filter(intent, now).alias("reasons")).where(F.size("reasons") > 0)
+
+
+def transferable(needs: DataFrame, skills: DataFrame, edges: DataFrame) -> DataFrame:
+    """Requirements (``id, requirement``) that a held skill (``skill, fact_id``) carries over to, through ``edges`` (``target, source, via``).
+
+    Equal names count as supported and not as transferable.
+    """
+    lower = lambda c: F.lower(F.col(c))
+    held = skills.select(lower("skill").alias("source"), "fact_id")
+    reached = edges.select(lower("target").alias("target"), lower("source").alias("source"), "via").join(held, "source")
+    met = needs.join(reached, lower("requirement") == F.col("target")).join(held.select(F.col("source").alias("own")).distinct(), lower("requirement") == F.col("own"), "left_anti")
+    return met.groupBy("id", "requirement", "via").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))
+
+
+def transfer_edges(spark) -> DataFrame:
+    return spark.createDataFrame(TRANSFERS, "target string, source string, via string")

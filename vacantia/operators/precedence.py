@@ -34,12 +34,14 @@ def unique_match(left: DataFrame, right: DataFrame, left_keys: Column, right_key
 
 
 def any_key_semi(left: DataFrame, right: DataFrame, left_keys: Column, right_keys: Column, anti: bool = False) -> DataFrame:
-    """Distinct rows of the left that share (or, ``anti``, do not share) any derived key with the right."""
+    """Rows of the left that share (or, ``anti``, do not share) any derived key with the right; repeated rows stay repeated.
+
+    Only keys and row numbers meet the right side; whole rows are joined with the numbers that were met.
+    """
     known = right.select(F.explode(right_keys).alias("_key")).distinct()
-    names = left.columns
-    keyed = left.select(F.struct(*names).alias("_all"), F.explode_outer(F.array_distinct(left_keys)).alias("_key"))
-    met = keyed.join(known.withColumn("_met", F.lit(True)), "_key", "left").groupBy("_all").agg(F.coalesce(F.max("_met"), F.lit(False)).alias("_met"))
-    return met.where(~F.col("_met") if anti else F.col("_met")).select("_all.*")
+    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    met = rows.select("_row", F.explode(F.array_distinct(left_keys)).alias("_key")).join(known, "_key", "left_semi").select("_row").distinct()
+    return rows.join(met, "_row", "left_anti" if anti else "left_semi").drop("_row")
 
 
 def host_suffixes(host: Column) -> Column:
@@ -92,8 +94,14 @@ def sample_by_key(rows: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFra
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Chunks of a size in order; adds ``batch``. For small, ordered lists (one window)."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Chunks of a size in order; adds ``batch``. Rows are numbered within ranges of the order, then the ranges one after the other."""
+    from ..functions.shared import cut
+
+    ranged = cut(rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    along = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_row", inside).join(F.broadcast(firsts), "_range").withColumn("batch", F.floor((F.col("_first") + F.col("_row")) / size)).select(*rows.columns, "batch")
 
 
 def ordered_fold(rows: DataFrame, partition: str, order: str, schema: str, fold: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -129,26 +137,29 @@ def dedupe_verified(rows: DataFrame) -> DataFrame:
 def allocate_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """Slug of each row in order: its base, else ``ats-base``, else rejected; earlier rows and the catalog hold theirs.
 
-    Rows of different bases can only clash through ``ats-base``, so groups go by the base without a provider prefix.
+    A base may be another row's ``ats-base``, so rows are folded per group that shares candidates. Of one provider's rows
+    of one base only the first two can get a slug (after them both candidates are taken), so groups stay small.
     """
-    held = taken.select(F.col("slug").alias("_slug"), F.lit(True).alias("_held")).distinct()
+    from ..functions.graph import connected
+
     second = F.concat_ws("-", "ats", "base")
-    known = (
-        rows.join(held, rows["base"] == held["_slug"], "left").drop("_slug").withColumnRenamed("_held", "_first_held")
-        .withColumn("_second", second)
-        .join(held, F.col("_second") == held["_slug"], "left").drop("_slug").withColumnRenamed("_held", "_second_held")
-    )
+    turn = F.row_number().over(Window.partitionBy("ats", "base").orderBy("ordinal"))
+    turned = rows.withColumn("_turn", turn)
+    late = turned.where("_turn > 2").drop("_turn").withColumn("slug", F.lit(None).cast("string"))
+    held = taken.select(F.col("slug").alias("_slug")).distinct()
+    options = turned.where("_turn <= 2").drop("_turn").withColumn("_options", F.array("base", second))
+    asked = options.select("ordinal", F.posexplode("_options").alias("_at", "_slug"))
+    free = asked.join(held, "_slug", "left_anti").groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("_at", "_slug"))).alias("_free"))
+    known = connected(options, "ordinal", "_options").join(free, "ordinal", "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
+        used: set[str] = set()
         out = []
-        for base, first, other, second in zip(pdf["base"], pdf["_first_held"], pdf["_second"], pdf["_second_held"], strict=True):
-            options = [(base, first), (other, second)]
-            slug = next((s for s, h in options if h is not True and s not in seen), None)
+        for candidates in pdf["_free"]:
+            slug = next((c["_slug"] for c in (candidates if candidates is not None else []) if c["_slug"] not in used), None)
             out.append(slug)
-            if slug:
-                seen.add(slug)
-        return pdf.drop(columns=["_second", "_first_held", "_second_held"]).assign(slug=out)
+            used.add(slug)
+        return pdf.assign(slug=out)[[*rows.columns, "slug"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ordered_fold(known, "base", "ordinal", f"{fields}, slug string", fold)
+    return ordered_fold(known, "component", "ordinal", f"{fields}, slug string", fold).unionByName(late)

@@ -104,7 +104,7 @@ def board_funnel(boards: DataFrame, supported: list[str], excluded: DataFrame, c
     """Why each board is skipped (null: it is probed), by the first rule that holds. Adds ``skip``."""
     key = F.concat_ws(":", "ats", F.lower("token"))
     out = boards.withColumn("_key", key)
-    out = out.join(F.broadcast(excluded.select(F.lower("key").alias("_key"), F.lit(True).alias("_out")).distinct()), "_key", "left")
+    out = out.join(excluded.select(F.lower("key").alias("_key"), F.lit(True).alias("_out")).distinct(), "_key", "left")
     out = out.join(catalog.select(key.alias("_key"), F.lit(True).alias("_in")).distinct(), "_key", "left")
     skip = (
         F.when(~F.col("ats").isin(supported), "unsupported")
@@ -121,9 +121,21 @@ def test_board(token: Column) -> Column:
     return token.rlike("(?i)[a-z]") & (token.rlike("[0-9]{5}") | ((F.length(token) >= 8) & ~token.rlike("(?i)[aeiou]")))
 
 
+FACTS = ["discovered_from", "company_matches", "identity_evidence", "attempts"]
+
+
+def united_additions(additions: DataFrame) -> DataFrame:
+    """One row a source: the facts of its rows united, the first (smallest) of other columns, the last promotion."""
+    rest = [c for c in additions.columns if c not in ("source_key", "promoted_at", *FACTS)]
+    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in FACTS if c in additions.columns]
+    promoted = [F.max("promoted_at").alias("promoted_at")] if "promoted_at" in additions.columns else []
+    return additions.groupBy("source_key").agg(*united, *[F.min(c).alias(c) for c in rest], *promoted).select(*additions.columns)
+
+
 def merge_leads(registry: DataFrame, additions: DataFrame) -> DataFrame:
-    """Upsert: facts are united and sorted, the first URL stays, the last promotion wins."""
-    facts = ["discovered_from", "company_matches", "identity_evidence", "attempts"]
+    """Upsert: facts are united and sorted, the first URL stays, the last promotion wins; additions of one key are one lead."""
+    facts = FACTS
+    additions = united_additions(additions)
     b = additions.select(F.col("source_key"), *[F.col(c).alias(f"_{c}") for c in additions.columns if c != "source_key"])
     both = registry.join(b, "source_key", "full")
     none = lambda c: F.coalesce(F.col(c), F.array().cast(registry.schema[c.lstrip("_")].dataType))
@@ -148,3 +160,49 @@ def lead_company_matches(leads: DataFrame, companies: DataFrame) -> DataFrame:
     squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     label = F.split(bare_domain(F.col("company_domain")), r"\.")[0]
     return unique_match(leads, companies.withColumn("company_domain", bare_domain(F.col("company_domain"))), F.array(squash("token")), F.array(squash("company_name"), squash(label)), "source_key", "company_domain")
+
+
+def trailing_failures_of(attempts: DataFrame, key: str, order: list[str], outcome: Column) -> DataFrame:
+    """The same count from attempts as rows, without gathering histories: failures after the last other outcome. ``key, failures``."""
+    at = F.struct(*order)
+    failed = outcome == "transient_failure"
+    last = attempts.groupBy(key).agg(F.max(F.when(~failed, at)).alias("_last"))
+    later = F.coalesce(at > F.col("_last"), F.lit(True))
+    return attempts.withColumn("_failed", failed).join(last, key).groupBy(key).agg(F.count_if(F.col("_failed") & later).alias("failures"))
+
+
+def state_histograms(leads: DataFrame, now: datetime) -> DataFrame:
+    """Leads by derived state and by retry disposition: ``kind, name, n``."""
+    named = leads.select(F.explode(F.array(F.struct(F.lit("state").alias("kind"), lead_state().alias("name")), F.struct(F.lit("retry").alias("kind"), retry_disposition(now).alias("name")))).alias("x"))
+    return named.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n")).select("kind", "name", "n")
+
+
+def record_outcomes(registry: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
+    """Append an attempt to the leads that a verification run decided (``source_key, outcome, category, detail``), others stay.
+
+    A success promotes; a transient failure sets the time of the next try by the run of failures before it; a permanent
+    one keeps the rank of the evidence it was judged on.
+    """
+    from ..functions.dates import lead_backoff_seconds
+
+    at = F.lit(now).cast("timestamp")
+    wait = F.when(F.col("outcome") == "transient_failure", F.timestamp_millis(F.unix_millis(at) + (lead_backoff_seconds(trailing_failures() + 1) * 1000).cast("long")))
+    attempt = F.struct(
+        at.alias("attempted_at"), F.col("outcome"), F.when(F.col("outcome") != "success", F.col("category")).alias("category"), F.when(F.col("outcome") != "success", F.col("detail")).alias("detail"),
+        wait.alias("next_eligible_at"), F.when(F.col("outcome") == "permanent_failure", strongest_rank()).cast("int").alias("evidence_rank"),
+    )
+    decided = registry.join(outcomes.dropDuplicates(["source_key"]), "source_key", "left")
+    hit = F.col("outcome").isNotNull()
+    changed = {"attempts": F.when(hit, F.concat("attempts", F.array(attempt))).otherwise(F.col("attempts")), "promoted_at": F.when(F.col("outcome") == "success", at).otherwise(F.col("promoted_at"))}
+    return decided.select(*[changed.get(c, F.col(c)).alias(c) for c in registry.columns])
+
+
+def career_leads(companies: DataFrame, leads: DataFrame) -> DataFrame:
+    """The first lead (by ``ordinal``) whose token is the company's normal name or domain label: ``company_domain, source_key``."""
+    from .verification import normal_name
+
+    tenant = F.when(F.contains("token", F.lit("myworkdayjobs.com/")), F.split("token", "/")[1]).otherwise(F.col("token"))
+    known = leads.select("source_key", "ordinal", normal_name(tenant).alias("key")).where(F.length("key") >= 3)
+    label = F.split(bare_domain(F.col("company_domain")), r"\.")[0]
+    keys = F.explode(F.array_distinct(F.array(normal_name(F.col("company_name")), normal_name(label)))).alias("key")
+    return companies.select("company_domain", keys).join(known, "key").groupBy("company_domain").agg(F.min_by("source_key", "ordinal").alias("source_key"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, urls
 
 # Channels of discovery, kinds of domain evidence.
-CHANNELS = "search career_page provider_directory community dataset legacy".split()
-EVIDENCE = "authoritative_dataset company_registry company_redirect company_page_link".split()
+CHANNELS = ["search", "career_page", "provider_directory", "community", "dataset", "legacy"]
+EVIDENCE = ["authoritative_dataset", "company_registry", "company_redirect", "company_page_link"]
 LEGAL_FORMS = r"(?<![a-z0-9_])(?:inc|llc|ltd|limited|corp|corporation|company)(?![a-z0-9_])"
 
 
@@ -80,7 +80,9 @@ def verification_order(candidates: DataFrame, attempts: DataFrame, catalog: Data
 
 
 def merge_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by source: cohorts united and sorted, the first evidence stays."""
+    """Upsert by source: cohorts united and sorted, the first evidence stays; rows of one new source are one."""
+    rest = [c for c in new.columns if c not in ("source_key", "cohorts")]
+    new = new.groupBy("source_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cohorts")))).alias("cohorts"), *[F.min(c).alias(c) for c in rest])
     b = new.select(F.col("source_key"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != "source_key"])
     both = old.join(b, "source_key", "full")
     none = F.array().cast("array<string>")
@@ -108,3 +110,58 @@ def directory_companies(rows: DataFrame, country_name: str) -> DataFrame:
     hit = F.col("locations").rlike(rf"(?i)(?<![A-Za-z0-9_]){country_name}(?![A-Za-z0-9_])")
     own = rows.where(hit).withColumn("domain", urls.bare_host(urls.host(F.col("website")))).where("domain IS NOT NULL")
     return own.groupBy("domain").agg(F.min_by("name", "ordinal").alias("name"), F.min("ordinal").alias("ordinal"))
+
+
+def promoted(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Candidates that stand in the catalog: one provider, token and domain, whatever their case."""
+    lower = lambda c: F.lower(F.col(c))
+    held = catalog.select(F.col("ats").alias("_ats"), lower("token").alias("_token"), lower("company_domain").alias("_domain")).distinct()
+    board = candidates.withColumn("_board", urls.resolve(F.col("source_url")))
+    met = (F.col("_board.ats") == F.col("_ats")) & (F.lower("_board.token") == F.col("_token")) & (lower("company_domain") == F.col("_domain"))
+    return board.join(held, met, "left_semi").drop("_board")
+
+
+def against_catalog(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Adds ``standing``: new; known (slug, domain and address agree); conflict (the slug is another's)."""
+    held = catalog.select(F.col("slug").alias("_slug"), F.lower("company_domain").alias("_domain"), F.lower("source_url").alias("_url"))
+    same = F.lower("company_domain").eqNullSafe(F.col("_domain")) & F.lower("source_url").eqNullSafe(F.col("_url"))
+    out = candidates.join(held, F.col("slug") == F.col("_slug"), "left")
+    return out.withColumn("standing", F.when(F.col("_slug").isNull(), "new").when(same, "known").otherwise("conflict")).drop("_slug", "_domain", "_url")
+
+
+def verifiable(candidates: DataFrame, registry: DataFrame, now) -> DataFrame:
+    """Candidates that may be tried: those the registry does not know, and those whose retry is due. Adds ``retry``."""
+    from .registry import retry_disposition
+
+    states = registry.select("source_key", retry_disposition(now).alias("retry"))
+    out = candidates.join(states, "source_key", "left").withColumn("retry", F.coalesce("retry", F.lit("fresh")))
+    return out.where(F.col("retry").isin("fresh", "retryable"))
+
+
+def discover_and_promote(discovered: DataFrame, catalog: DataFrame, probes: DataFrame, jobs: DataFrame, country: str | None = None) -> DataFrame:
+    """Discovery, then verification: one row a source, those that the catalog lacks, verified or with a reason."""
+    once = dedupe_discovered(discovered)
+    fresh = against_catalog(once, catalog).where("standing = 'new'").drop("standing", "source_key")
+    return verify(fresh, probes, jobs, country)
+
+
+def board_origins(boards: DataFrame, origins: DataFrame, queries: DataFrame) -> DataFrame:
+    """``key, index_id``: the indexes that each board was seen in, each once; a row a pair, in order."""
+    met = boards.select("key").join(origins.select(F.col("board_key").alias("key"), "query_id"), "key").join(queries.select(F.col("id").alias("query_id"), "index_id"), "query_id")
+    return met.select("key", "index_id").distinct().orderBy("key", "index_id")
+
+
+def campaign_totals(boards: DataFrame, known: DataFrame, records: int, rejected: int) -> DataFrame:
+    """One row: boards, those the catalog knows, new ones, records read, lines rejected."""
+    marked = boards.select("key").distinct().join(known.select("key", F.lit(1).alias("_known")).distinct(), "key", "left")
+    return marked.agg(F.count(F.lit(1)).alias("boards"), F.count("_known").alias("known_boards"), F.count_if(F.col("_known").isNull()).alias("new_board_leads")).withColumns({"records": F.lit(records), "rejected_records": F.lit(rejected)})
+
+
+def site_yield(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Totals of a site probe, and its sites by postings. Rows: domain, career_url, robots_blocked, pages_fetched, postings, with_date, with_identifier, country_postings."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    totals = sites.agg(
+        F.count(F.lit(1)).alias("checked"), F.count("career_url").alias("with_careers_page"), F.count_if(F.col("postings") > 0).alias("with_postings"), F.count_if("robots_blocked").alias("robots_blocked"),
+        *map(total, ["pages_fetched", "postings", "with_date", "with_identifier", "country_postings"]),
+    )
+    return totals, sites.orderBy(F.desc("postings"), "domain")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 # Closed sets of names.
-PROVIDERS = "greenhouse lever ashby recruitee workday smartrecruiters workable breezy freshteam keka zohorecruit oraclecloud accenture infosys capgemini amazon jobposting".split()
+PROVIDERS = [
+    "greenhouse", "lever", "ashby", "recruitee", "workday", "smartrecruiters", "workable", "breezy", "freshteam", "keka", "zohorecruit", "oraclecloud",
+    "accenture", "infosys", "capgemini", "amazon", "jobposting",
+]
 WORK_MODES = ["remote", "hybrid", "onsite", "unknown"]
 CONFIDENCE = ["explicit", "inferred", "unknown"]
 AGES = ["new", "older", "stale", "undated"]

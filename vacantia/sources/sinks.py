@@ -77,3 +77,35 @@ def usage_event(tool: str, given: dict, result: dict, now: datetime) -> dict:
         "countries": [short(c) for c in (given.get("countries") or (given.get("intent") or {}).get("countries") or [])][:20],
         "results": len(result.get("jobs") or result.get("matches") or []), "outcome": result.get("outcome"),
     }
+
+
+def write_catalog(catalog: DataFrame, path: str) -> None:
+    """The catalog by slug, one file, replaced as a whole."""
+    catalog.orderBy("source_slug").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_watches(spark, watches: dict[str, dict], path: str) -> None:
+    """Stored searches ``name: {"profile": ..., "seen": [...]}``, a row each, replaced as a whole."""
+    rows = [(name, json.dumps(w["profile"], ensure_ascii=False, sort_keys=True), list(w["seen"])) for name, w in sorted(watches.items())]
+    spark.createDataFrame(rows, "name string, profile string, seen array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_watches(spark, path: str) -> dict[str, dict]:
+    """What ``write_watches`` stored; a missing or broken file is no watches."""
+    try:
+        rows = spark.read.schema("name string, profile string, seen array<string>").parquet(path).collect()
+        return {r["name"]: {"profile": json.loads(r["profile"]), "seen": list(r["seen"])} for r in rows}
+    except Exception:  # by definition: an unreadable file holds nothing
+        return {}
+
+
+def notify_new(rows: DataFrame, send: Callable[[str, str], None], shown: int = 3) -> int:
+    """Tell of new matches through a callback, best effort: a title and the first few; returns how many there are."""
+    n = rows.count()
+    if n:
+        names = [f"{r['title']} at {r['company']}" for r in rows.limit(shown).collect()]
+        try:
+            send(f"{n} new {'role' if n == 1 else 'roles'}", ", ".join(names))
+        except OSError:
+            pass
+    return n

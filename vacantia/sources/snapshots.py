@@ -34,10 +34,69 @@ def write_partitions(jobs: DataFrame, path: str) -> None:
 
 
 def export_manifest(jobs: DataFrame) -> DataFrame:
-    """Per source: jobs and a content hash of its rows in order of id (rows hash alone, so no source is one string)."""
-    rows = jobs.withColumn("_h", F.sha2(F.to_json(F.struct(*sorted(jobs.columns))), 256))
-    hashed = rows.groupBy("source_slug").agg(F.count(F.lit(1)).alias("jobs"), F.array_sort(F.collect_list(F.struct("id", "_h"))).alias("_all"))
-    return hashed.select("source_slug", "jobs", F.sha2(F.array_join(F.transform("_all", lambda r: r["_h"]), "\n"), 256).alias("sha256"))
+    """Per source: jobs and a content hash of its rows in any order (number, sum and exclusive-or of row hashes, so no source is gathered)."""
+    rows = jobs.withColumn("_h", F.xxhash64(F.to_json(F.struct(*sorted(jobs.columns)))))
+    hashed = rows.groupBy("source_slug").agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("_sum"), F.bit_xor("_h").alias("_xor"))
+    return hashed.select("source_slug", "jobs", F.sha2(F.concat_ws(":", F.col("jobs"), F.col("_sum").cast("string"), F.col("_xor")), 256).alias("sha256"))
+
+
+SAFE_SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
+
+
+def export_snapshot(jobs: DataFrame, path: str) -> DataFrame:
+    """One folder of JSON lines a source (rows by id), folders of sources that are gone removed, then the manifest; returns it.
+
+    An unsafe slug fails the export before anything is written.
+    """
+    if not jobs.where(~F.col("source_slug").rlike(SAFE_SLUG)).isEmpty():
+        raise ValueError("the snapshot holds an unsafe source slug")
+    spark = jobs.sparkSession
+    out = f"{path}/sources"
+    jobs.repartition("source_slug").sortWithinPartitions("source_slug", "id").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("source_slug").json(out)
+    manifest = export_manifest(jobs).withColumn("path", F.concat(F.lit("sources/source_slug="), F.col("source_slug")))
+    manifest.orderBy("source_slug").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of candidates; one of another shape fails it all."""
+    entry = "struct<companyName:string,companyDomain:string,slug:string,sourceUrl:string,cohorts:array<string>,discoveredFrom:struct<channel:string,reference:string>>"
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"array<{entry}>", {"mode": "FAILFAST"})).alias("c"))
+    out = rows.select(
+        F.col("c.companyName").alias("company_name"), F.col("c.companyDomain").alias("company_domain"), "c.slug", F.col("c.sourceUrl").alias("source_url"), "c.cohorts",
+        F.col("c.discoveredFrom.channel").alias("channel"), F.col("c.discoveredFrom.reference").alias("reference"),
+    )
+    bad = F.col("company_name").isNull() | F.col("company_domain").isNull() | F.col("source_url").isNull() | F.col("channel").isNull()
+    checked = out.withColumn("_ok", F.assert_true(~bad, F.lit("invalid source candidate")))
+    return checked.where(F.col("_ok").isNull()).drop("_ok")
+
+
+def read_crawl(spark: SparkSession, path: str) -> DataFrame:
+    """The last crawl of a snapshot file; more outcomes than sources selected fail it."""
+    from ..operators.coverage import valid_snapshot
+
+    shape = "lastCrawl struct<startedAt:string,finishedAt:string,selected:long,succeeded:long,failed:array<struct<source:string,error:string>>>"
+    raw = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).where("lastCrawl IS NOT NULL").select("lastCrawl.*")
+    crawl = raw.select(dates.lenient_timestamp(F.col("startedAt")).alias("started_at"), dates.lenient_timestamp(F.col("finishedAt")).alias("finished_at"), "selected", "succeeded", F.size("failed").alias("failed"))
+    checked = crawl.withColumn("_ok", F.assert_true(valid_snapshot(crawl), F.lit("a crawl has more outcomes than sources")))
+    return checked.where(F.col("_ok").isNull()).drop("_ok")
+
+
+def seed_snapshot(spark: SparkSession, path: str, country: str | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """A snapshot to begin with, jobs of a country alone if asked; none if it cannot be read."""
+    from ..functions import geo
+
+    try:
+        jobs, parts = read_snapshot(spark, path)
+    except Exception:  # a seed is a convenience: whatever is wrong with it, the crawl goes on without
+        return None
+    return (jobs.where(geo.eligible_for(country)) if country else jobs), parts
+
+
+def without_descriptions(jobs: DataFrame) -> DataFrame:
+    """Rows with blank descriptions; what was read from these stays."""
+    return jobs.withColumn("description", F.lit(""))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
