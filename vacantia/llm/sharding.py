@@ -98,7 +98,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, most_rows: int = MOST_R
     is_heavy = rows.join(F.broadcast(literal_rows(spark, [{"key": k, "heavy": True} for k in likely], "key:long,heavy:boolean")), "key", "left")
     is_heavy = is_heavy.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     drawn = is_heavy.where("NOT heavy").select("key", (-F.log(_unit(F.col("key"), F.col("doc_id"))) / F.col("size")).alias("turn")).orderBy("turn", "key").limit(SAMPLE)
-    calm = sorted({r["key"] for r in drawn.select("key").collect()})
+    # distinct before it is collected: a limit that is collected itself would send every task's share to the driver
+    calm = sorted(r["key"] for r in drawn.select("key").distinct().collect())
     bounds = sorted({calm[k * len(calm) // RANGES] for k in range(1, RANGES)}) if calm else []
 
     below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
