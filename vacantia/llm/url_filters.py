@@ -67,7 +67,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = cut(urls.select("host").distinct().select("host", host_key(F.col("host")).alias("key")))
     ranges = max(RANGES, -(-hosts.count() // HOSTS))
-    sample = sorted(r[0] for r in hosts.orderBy(F.xxhash64("key"), "key").limit(SAMPLE * ranges).select("key").collect())
+    sample = sorted(r[0] for r in hosts.orderBy(F.xxhash64("key"), "key").limit(SAMPLE * ranges).select("key").distinct().collect())
     bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
     range_of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
 
