@@ -59,7 +59,7 @@ def test_prepare(tools):
     asked = []
     held = Tools(tools.jobs, tools.partitions, tools.catalog, lambda: NOW, crawl=asked.extend)
     got = held.call("prepare_job_search", {})
-    assert got["counts"]["pending"] == 2 and asked == ["n", "b"] and got["continuation"]
+    assert got["counts"]["pending"] == 2 and asked == ["n", "b"] and (got["next_action"], got["continuation"]) == ("retry_later", None)  # all were tried
     assert refresh_reason("auto", tools.partitions, 9, 5, 14, NOW) == "snapshot_stale" and refresh_reason("never", None, 0, 5, 14, NOW) == "policy_never" and refresh_reason("auto", None, 0, 5, 14, NOW) == "snapshot_missing"
     fresh = tools.partitions.limit(1)
     assert refresh_reason("auto", fresh, 1, 5, 14, NOW) == "insufficient_matches" and refresh_reason("auto", fresh, 5, 5, 14, NOW) == "not_needed"
@@ -67,7 +67,7 @@ def test_prepare(tools):
 
 def test_recommend(tools):
     got = tools.call("recommend_jobs", {"resume": RES, "intent": {"countries": ["IN"], "roles": ["backend engineer"]}})
-    assert got["matches"][0]["id"] == "c" and got["outcome"] == "widened" and got["exploration"]["direct"][:1] == ["c"] and got["refresh"] == "snapshot_stale"
+    assert got["matches"][0]["id"] == "c" and got["outcome"] == "widened" and got["exploration"]["direct"][:1] == ["c"] and got["refresh"]["reason"] == "snapshot_stale"
 
 
 def test_fit_and_resume_edits(tools):

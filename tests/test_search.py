@@ -109,7 +109,7 @@ def test_signals_ngrams_prevalence(spark):
     assert {r.country: (r.jobs, r.exact_titles) for r in audit.signal_countries(rows).collect()} == {"IN": (1, 1), "(unclassified)": (1, 0)}
     clauses = spark.createDataFrame([(1, "must know the java and sql"), (1, "java sql"), (2, "SQL, sql")], "id int, c string")
     assert [tuple(r) for r in audit.ngrams(clauses, "c", ["the", "and"], 2, 2).collect()] == [("java sql", 2), ("know java", 1)]
-    assert [tuple(r) for r in audit.term_prevalence(clauses, "id", "c", ["sql", "java", "go"]).collect()] == [("sql", 4, 2, 1), ("java", 2, 1, 1)]
+    assert [tuple(r) for r in audit.term_prevalence(clauses, "id", "c", ["sql", "java", "go"]).collect()] == [("sql", 4, 2, [1, 2]), ("java", 2, 1, [1])]
 
 
 def test_times_are_whole_days():

@@ -225,7 +225,7 @@ class Tools:
 
     def search_jobs(self, value: dict) -> dict:
         q = search_query_of(value)
-        found = [r.asDict(True) for r in search.search(self.jobs, q, self.now()).collect()]
+        found = [r.asDict(True) for r in search.search(self.jobs, q, self.now(), always=True).collect()]
         page = {"offset": q.offset, "limit": q.limit, "total": found[0]["total"], "next_offset": found[0]["next_offset"]}
         rows = [r for r in found if r["id"] is not None]  # a page past the end is the total alone
         return {"jobs": rows, "pagination": page, "window": {"days_used": rows[0]["days_used"], "widened": rows[0]["widened"]} if rows else None}

@@ -151,6 +151,7 @@ def allocate_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
     asked = options.select("ordinal", F.posexplode("_options").alias("_at", "_slug"))
     free = asked.join(held, "_slug", "left_anti").groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("_at", "_slug"))).alias("_free"))
     known = connected(options, "ordinal", "_options").join(free, "ordinal", "left")
+    names = [*rows.columns, "slug"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
@@ -159,7 +160,7 @@ def allocate_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
             slug = next((c["_slug"] for c in (candidates if candidates is not None else []) if c["_slug"] not in used), None)
             out.append(slug)
             used.add(slug)
-        return pdf.assign(slug=out)[[*rows.columns, "slug"]]
+        return pdf.assign(slug=out)[names]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return ordered_fold(known, "component", "ordinal", f"{fields}, slug string", fold).unionByName(late)

@@ -61,28 +61,28 @@ def in_cascade(rows: DataFrame, posted: str, now: datetime | Column, windows: tu
     return rows.join(F.broadcast(steps), (F.col("days_used") <= 0) | F.coalesce(age, F.lit(False)))
 
 
-def page(rows: DataFrame, posted: str, key: str, offset: int, limit: int) -> DataFrame:
+def page(rows: DataFrame, posted: str, key: str, offset: int, limit: int, always: bool = False) -> DataFrame:
     """Newest first, undated last, ties by key; with the total and where the next page begins (null at the end).
 
-    Only a page is sorted out (top-k with offset); the total is a second, unsorted aggregate. A page without rows, past
-    the end too, is one row of nulls that still has the total.
+    Only a page is sorted out (top-k with offset); the total is a second, unsorted aggregate. With ``always``, a page
+    without rows, past the end too, is one row of nulls that still has the total.
     """
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     top = rows.orderBy(F.desc_nulls_last(posted), F.asc(key)).offset(offset).limit(limit)
     following = F.when(F.col("total") > offset + limit, F.lit(offset + limit)).cast("long")
-    return total.join(top, F.lit(True), "left").select(*rows.columns, "total").withColumn("next_offset", following)
+    return total.join(top, F.lit(True), "left" if always else "inner").select(*rows.columns, "total").withColumn("next_offset", following)
 
 
 def windows_of(q: SearchQuery) -> tuple[int, ...]:
     return dates.CASCADE if q.max_age_days is None else (q.max_age_days,)
 
 
-def search(jobs: DataFrame, q: SearchQuery, now: datetime) -> DataFrame:
+def search(jobs: DataFrame, q: SearchQuery, now: datetime, always: bool = False) -> DataFrame:
     """The summaries of a page: predicate, experience, windows, order; the description is left out."""
     found = jobs.where(search_predicate(q))
     if q.experience_years is not None:
         found = experience.with_experience(found).where(experience.experience_filter(F.col("experience"), q.experience_years, q.include_unknown_experience))
-    shown = page(in_cascade(found, "updated_at", now, windows_of(q)), "updated_at", "id", q.offset, q.limit)
+    shown = page(in_cascade(found, "updated_at", now, windows_of(q)), "updated_at", "id", q.offset, q.limit, always)
     return shown.drop("description").withColumns({"posted_days_ago": dates.posted_days_ago(F.col("updated_at"), now), "age": dates.job_age(F.col("updated_at"), now)})
 
 

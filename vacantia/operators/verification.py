@@ -113,7 +113,9 @@ def directory_companies(rows: DataFrame, country_name: str) -> DataFrame:
 
 
 def promoted(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates that stand in the catalog: one provider, token and domain, whatever their case."""
+    """Candidates that stand in the catalog: one provider, token and domain, whatever their case; without an address none does."""
+    if "source_url" not in candidates.columns:
+        return candidates.limit(0)
     lower = lambda c: F.lower(F.col(c))
     held = catalog.select(F.col("ats").alias("_ats"), lower("token").alias("_token"), lower("company_domain").alias("_domain")).distinct()
     board = candidates.withColumn("_board", urls.resolve(F.col("source_url")))

@@ -134,16 +134,28 @@ def q06_provider_counts_confidence(spark: SparkSession, sf_dir: str) -> DataFram
 WITH x AS (SELECT max(o_orderdate) - INTERVAL 20 DAY AS now FROM orders), p AS (SELECT o_custkey, max(o_orderdate) AS fetched FROM orders GROUP BY 1)
 SELECT CASE WHEN epoch_ms(now) - epoch_ms(fetched) < 0 THEN 'future' WHEN epoch_ms(now) - epoch_ms(fetched) <= 86400000 THEN 'fresh_24_hours' WHEN epoch_ms(now) - epoch_ms(fetched) <= 7 * 86400000 THEN 'age_1_to_7_days'
             WHEN epoch_ms(now) - epoch_ms(fetched) <= 14 * 86400000 THEN 'age_8_to_14_days' ELSE 'older_than_14_days' END AS bucket,
-       count(*) AS n, strftime(min(fetched), '%Y-%m-%d') AS oldest, strftime(max(fetched), '%Y-%m-%d') AS newest, md5(string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY o_custkey)) AS keys_md5
+       count(*) AS n, strftime(min(fetched), '%Y-%m-%d') AS oldest, strftime(max(fetched), '%Y-%m-%d') AS newest
 FROM p, x GROUP BY 1
 """)
 def q07_freshness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as partitions, their latest order as the time of fetching: freshness buckets with their members."""
+    """Customers as partitions, their latest order as the time of fetching: freshness buckets."""
     orders = _t(spark, sf_dir, "orders")
     parts = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("at"))
-    found = coverage.freshness(parts, "o_custkey", "at", _latest(orders, "o_orderdate", 20))
+    found = coverage.freshness(parts, "at", _latest(orders, "o_orderdate", 20))
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return found.select("bucket", "n", day("oldest"), day("newest"), F.md5(F.array_join(F.transform("keys", lambda k: k.cast("string")), ",")).alias("keys_md5"))
+    return found.select("bucket", "n", day("oldest"), day("newest"))
+
+
+@_query("""
+WITH x AS (SELECT max(o_orderdate) - INTERVAL 20 DAY AS now FROM orders), p AS (SELECT o_custkey, max(o_orderdate) AS fetched FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN epoch_ms(now) - epoch_ms(fetched) < 0 THEN 'future' WHEN epoch_ms(now) - epoch_ms(fetched) <= 86400000 THEN 'fresh_24_hours' WHEN epoch_ms(now) - epoch_ms(fetched) <= 7 * 86400000 THEN 'age_1_to_7_days'
+            WHEN epoch_ms(now) - epoch_ms(fetched) <= 14 * 86400000 THEN 'age_8_to_14_days' ELSE 'older_than_14_days' END AS bucket FROM p, x
+""")
+def q07c_freshness_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customer lies in which bucket, a row each."""
+    orders = _t(spark, sf_dir, "orders")
+    parts = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("at"))
+    return coverage.freshness_members(parts, "o_custkey", "at", _latest(orders, "o_orderdate", 20))
 
 
 @_query("""
@@ -171,18 +183,21 @@ def q08_never_indexed_orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH a AS (SELECT DISTINCT p_partkey, key FROM (SELECT p_partkey, replace(p_name, ' ', '') AS key FROM part UNION ALL SELECT p_partkey, lower(p_type) FROM part)),
-b AS (SELECT DISTINCT c_nationkey AS domain, key FROM (SELECT c_nationkey, lower(c_mktsegment) AS key FROM customer WHERE c_custkey < 20 UNION ALL SELECT c_nationkey, 'smallring' FROM customer WHERE c_custkey = 3
-      UNION ALL SELECT c_nationkey, 'large' FROM customer WHERE c_custkey IN (5, 6, 7)))
+b AS (SELECT DISTINCT c_nationkey AS domain, key FROM (SELECT c_nationkey, lower(c_mktsegment) || c_nationkey AS key FROM customer UNION ALL SELECT c_nationkey, split_part(c_name, '#', 1) || CASE WHEN c_nationkey = 3 THEN 'x' ELSE '' END FROM customer
+      UNION ALL SELECT c_nationkey, lower(['small', 'red', 'blue', 'green', 'hot'][c_nationkey % 5 + 1]) || 'ring' FROM customer WHERE c_nationkey < 4 UNION ALL SELECT n_nationkey, lower('ECONOMY') FROM nation WHERE n_nationkey = 2))
 SELECT p_partkey, min(domain) AS domain FROM a JOIN b USING (key) WHERE length(key) >= 3 GROUP BY 1 HAVING count(DISTINCT domain) = 1
 """)
 def q09_unique_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose derived keys meet exactly one distinct nation: a theta join as an equi-join on exploded keys."""
     part, customer = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    known = customer.where("c_custkey < 20").select(
-        F.col("c_nationkey").alias("domain"),
-        F.array_compact(F.array(F.lower("c_mktsegment"), F.when(key == 3, F.lit("smallring")), F.when(key.isin(5, 6, 7), F.lit("large")))).alias("keys"),
-    )
+    n = F.col("c_nationkey")
+    colour = F.element_at(F.array(*map(F.lit, ["small", "red", "blue", "green", "hot"])), (n % 5 + 1).cast("int"))
+    known = customer.select(
+        n.alias("domain"),
+        F.array_compact(F.array(
+            F.concat(F.lower("c_mktsegment"), n.cast("string")), F.concat(F.split("c_name", "#")[0], F.when(n == 3, "x").otherwise("")), F.when(n < 4, F.concat(colour, F.lit("ring"))), F.when(n == 2, F.lit("economy")),
+        )).alias("keys"),
+    )
     return precedence.unique_match(part, known, F.array(F.regexp_replace("p_name", " ", ""), F.lower("p_type")), F.col("keys"), "p_partkey", "domain")
 
 
@@ -237,11 +252,12 @@ def q13b_unigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (
   SELECT term, doc_id, len(regexp_extract_all(regexp_replace(text, '(?i)([^a-z0-9+#])', '\1\1', 'g'), '(?i)(^|[^a-z0-9+#])' || term || '($|[^a-z0-9+#])')) AS n
   FROM documents, (VALUES ('idiot'), ('license'), ('than'), ('with')) AS v(term))
-SELECT term, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS documents, min(doc_id) AS first FROM m WHERE n > 0 GROUP BY 1
+SELECT term, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS documents, array_to_string(list(doc_id ORDER BY doc_id)[1:3], ',') AS examples FROM m WHERE n > 0 GROUP BY 1
 """)
 def q14_term_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of terms as whole words, documents that hold them, the first of these."""
-    return audit.term_prevalence(_t(spark, sf_dir, "documents"), "doc_id", "text", ["idiot", "license", "than", "with"])
+    """Mentions of terms as whole words, documents that hold them, the first three of these."""
+    found = audit.term_prevalence(_t(spark, sf_dir, "documents"), "doc_id", "text", ["idiot", "license", "than", "with"])
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda d: d.cast("string")), ","))
 
 
 @_query("""
@@ -262,12 +278,12 @@ def q15_employer_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH x AS (SELECT max(ts) - INTERVAL 10 DAY AS now FROM events),
-o AS (SELECT event_id % 4000 AS id, min((ts, user_id)) AS p FROM events, x WHERE ts >= now - INTERVAL 7 DAY GROUP BY 1)
+o AS (SELECT event_id // 2 AS id, min((ts, user_id)) AS p FROM events, x WHERE ts >= now - INTERVAL 7 DAY GROUP BY 1)
 SELECT p[2] AS user_id, count(*) AS postings, strftime(min(p[1]), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(p[1]), '%Y-%m-%d %H:%M:%S') AS last_seen FROM (SELECT [p] AS q, p FROM o) GROUP BY 1
 """.replace("p[2]", "struct_extract(p, 2)").replace("p[1]", "struct_extract(p, 1)"))
 def q16_rolling_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of a rolling week per user, each id once."""
-    events = _t(spark, sf_dir, "events").withColumn("id", F.col("event_id") % 4000)
+    events = _t(spark, sf_dir, "events").withColumn("id", F.floor(F.col("event_id") / 2))
     found = market.rolling_market(events, "id", "user_id", "ts", _latest(events, "ts", 10), 7)
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select("user_id", "postings", at("first_seen"), at("last_seen"))
@@ -353,9 +369,9 @@ def q20_trailing_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = _t(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type").isin("error", "view"), "transient_failure").otherwise("success")
-    history = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", outcome.alias("outcome")))).alias("attempts"))
-    n = registry.trailing_failures()
-    return history.select("user_id", n.alias("failures"), F.when(n >= registry.REPEATED, "repeatedly_failing").otherwise("retryable").alias("disposition"))
+    n = F.col("failures")
+    found = registry.trailing_failures_of(events, "user_id", ["ts", "event_id"], outcome)
+    return found.select("user_id", n.cast("int").alias("failures"), F.when(n >= registry.REPEATED, "repeatedly_failing").otherwise("retryable").alias("disposition"))
 
 
 @_query("""
@@ -459,13 +475,6 @@ def q26b_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", html.plain_text(F.col("html")).alias("text"), F.size(html.extract_links(F.col("html"), F.col("url"))).alias("n_links"))
 
 
-@_query()
-def q27_structured_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job postings of the pages' structured data (the driver's pages hold none)."""
-    pages = _t(spark, sf_dir, "pages")
-    return pages.select("page_id", F.explode(html.extract_postings(F.col("html"), F.col("url"))).alias("p")).select("page_id", "p.*")
-
-
 @_query()
 def q28_classify_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geography and stated experience of documents read as remote postings."""
