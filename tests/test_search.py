@@ -68,7 +68,8 @@ def test_country_report(spark):
     s = got["sources"].first()
     assert (s.verified_sources, s.cohort_sources, s.indexed_sources, s.catalog_coverage_percent) == (3, 2, 2, 66.67)
     assert [r[0] for r in got["never_indexed"].collect()] == ["c"] and [r[0] for r in got["orphaned"].collect()] == ["zz"]
-    assert {r.bucket: r["keys"] for r in got["freshness"].collect()} == {"fresh_24_hours": ["a"], "age_8_to_14_days": ["b"], "older_than_14_days": ["zz"]}
+    assert {(r.bucket, r.source_slug) for r in got["freshness_members"].collect()} == {("fresh_24_hours", "a"), ("age_8_to_14_days", "b"), ("older_than_14_days", "zz")}
+    assert {r.bucket: r.n for r in got["freshness"].collect()} == {"fresh_24_hours": 1, "age_8_to_14_days": 1, "older_than_14_days": 1}
     assert got["confidence_eligible"].first()[:] == (2, 0, 0)
     assert {r.country: (r.sources, r.jobs) for r in coverage.country_coverage(rows, catalog, ["IN", "DE"]).collect()} == {"IN": (2, 2), "DE": (0, 0)}
     import pytest

@@ -468,7 +468,14 @@ def q26_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.size(found).alias("n_links"), F.md5(F.array_join(found, " ")).alias("links_md5"), F.size(html.ld_json_blocks(F.col("html"))).alias("n_ld"))
 
 
-@_query()
+@_query(r"""
+WITH a AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?i)<br\s*/?\s*>|</(p|li|div|h[1-6])>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM pages),
+b AS (SELECT *, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS d FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(d, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS p FROM b),
+l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#\s]+)["'']', 1)) AS link FROM pages),
+n AS (SELECT page_id, count(DISTINCT CASE WHEN link LIKE 'https://%' THEN link WHEN link LIKE 'http://%' THEN NULL WHEN url LIKE 'https://%' THEN link END) AS n FROM l GROUP BY 1)
+SELECT c.page_id, trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS text, CAST(coalesce(n.n, 0) AS INTEGER) AS n_links FROM c LEFT JOIN n ON n.page_id = c.page_id
+""")
 def q26b_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every page, with absolute https links."""
     pages = _t(spark, sf_dir, "pages")
