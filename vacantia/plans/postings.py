@@ -616,3 +616,98 @@ def q64_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
         sites.select(F.lit("sites").alias("kind"), F.col("checked").alias("a"), F.col("with_postings").alias("b"), F.col("postings").alias("c")),
         manifest.agg(F.count(F.lit(1)).alias("a"), F.sum("jobs").alias("b")).select(F.lit("manifest").alias("kind"), "a", "b", zero.cast("long").alias("c")),
     ])
+
+
+# One posting a provider, ``{k}`` the supplier's key: token, recorded body, and the row that it must become.
+_PAYLOADS = [
+    ("greenhouse", "tok", '{"jobs":[{"id":{k},"title":"Dev {k}","location":{"name":"Pune, India"},"absolute_url":"https://x/1","updated_at":"2026-08-30T10:00:00Z","content":"<p>a &amp;amp; b</p><p>c</p>"}]}', "{k}", "Pune, India", "unknown", "2026-08-30", "IN", "a &amp; b\n\nc"),
+    ("lever", "tok", '[{"id":"a{k}","text":"Dev {k}","categories":{"location":"Remote - US"},"workplaceType":"remote","hostedUrl":"u","createdAt":1756684800000,"descriptionPlain":" d ","lists":[{"text":"Req","content":"<li>Java</li>"}],"additionalPlain":"more"}]', "a{k}", "Remote - US", "remote", "2025-09-01", "US", "d\n\nReq\nJava\n\nmore"),
+    ("ashby", "tok", '{"jobs":[{"id":"b{k}","title":"Dev {k}","location":"Berlin, Germany","isRemote":false,"jobUrl":"u","publishedAt":"2026-08-01T00:00:00.000+00:00"}]}', "b{k}", "Berlin, Germany", "unknown", "2026-08-01", "DE", ""),
+    ("recruitee", "tok", '{"offers":[{"guid":"g{k}","title":"T","city":"Paris","country_code":"fr","hybrid":true,"careers_url":"u","published_at":"2026-08-01 10:00:00 UTC","translations":{"fr":{"title":"F"},"en":{"title":"Dev {k}","description":"<p>x</p>"}}}]}', "g{k}", "Paris, FR", "hybrid", "2026-08-01", "FR", "x"),
+    ("workday", "h.wd1.myworkdayjobs.com/t/Site", '{"jobPostings":[{"title":"Dev {k}","externalPath":"/job/P/Dev_R-{k}","locationsText":"Pune, India","postedOn":"Posted 3 Days Ago","bulletFields":["R-{k}"]},{"title":"Dev","externalPath":"/job/P/Dev_R-{k}"},{"title":"none"}]}', "R-{k}", "Pune, India", "unknown", "2001-05-29", "IN", ""),
+    ("smartrecruiters", "tok", '{"content":[{"id":"{k}","name":"Dev {k}","releasedDate":"2026-08-01","location":{"city":"Pune","country":"in","remote":true}}]}', "{k}", "Pune, India", "remote", "2026-08-01", "IN", ""),
+    ("workable", "tok", '{"jobs":[{"shortcode":"S{k}","title":"Dev {k}","city":"Rome","locations":[{"country":"Italy"}]}]}', "S{k}", "Rome, Italy", "unknown", None, "IT", ""),
+    ("breezy", "tok", '[{"id":"{k}","name":"Dev {k}","location":{"city":"Oslo","country":{"name":"Norway"}},"description":"<div>a</div>b"}]', "{k}", "Oslo, Norway", "unknown", None, "NO", "a\nb"),
+    ("freshteam", "tok", '{"jobs":[{"id":2,"deleted":true,"title":"X"},{"id":"{k}","title":"Dev {k}","branch_id":7,"remote":false}],"branches":[{"id":7,"city":"Chennai","country_code":"IN"}]}', "{k}", "Chennai, India", "unknown", None, "IN", ""),
+    ("oraclecloud", "h.fa.x.oraclecloud.com/CX_1", '{"items":[{"requisitionList":[{"Id":"{k}","Title":"Dev {k}","PrimaryLocation":"Austin, TX","PrimaryLocationCountry":"US","PostedDate":"2026-08-20","secondaryLocations":[{"Name":"Pune"}]}]}]}', "{k}", "Austin, TX; Pune, United States", "unknown", "2026-08-20", "IN,US", ""),
+    ("keka", "t/org", '[{"id":"{k}","title":"Dev {k}","jobType":3,"jobLocations":[{"city":"Delhi","countryCode":"IN"}],"description":"x"}]', "{k}", "Delhi, India", "remote", None, "IN", "x"),
+    ("accenture", "in-en", '{"data":[{"requisitionId":"{k}","title":"Dev {k}","location":["Pune"],"postedDateText":"Posted 2 weeks ago","mustHaveSkills":"Java","jobDetailUrl":"https://a/{0}/x"}]}', "{k}", "Pune, India", "unknown", "2001-05-18", "IN", "Must have skills: Java"),
+    ("infosys", "1", '[{"postingId":"{k}","postingTitle":"Dev {k}","location":"PUNE","createdOn":"2026-08-01T01:00:00","rolesResponsibilities":"<p>a</p>"}]', "{k}", "Pune, India", "unknown", "2026-07-31", "IN", "a"),
+    ("capgemini", "in-en", '{"data":[{"id":"{k}","ref":"r","source":"S","title":"Dev {k}","location":"Pune","updated_at":"2026-08-01T00:00:00Z","description":"<p>d</p>"}]}', "{k}", "Pune, India", "unknown", "2026-08-01", "IN", "d"),
+    ("amazon", "USA", '{"jobs":[{"id":"{k}","title":"Dev {k}","city":"Seattle","state":"WA","country_code":"USA","posted_date":"August  3, 2026","job_path":"/p","basic_qualifications":"q"}]}', "{k}", "Seattle, WA, United States", "unknown", "2026-08-03", "US", "Basic qualifications:\nq"),
+    ("zohorecruit", "t.zohorecruit.com", '<rss><channel><title>Co</title><item><title><![CDATA[Dev {k}]]></title><link>https://t.zohorecruit.com/jobs/Careers/12{k}?source=RSS</link><guid></guid><pubDate>Wed, 02 Sep 2026 13:00:00 GMT</pubDate><description><![CDATA[Location: Pune<br>x <span id="spandesc">Body<br>2]]></description></item></channel></rss>', "12{k}", "Pune", "unknown", "2026-09-02", "IN", "Body\n2"),
+]
+
+
+def _sql_text(value: str | None) -> str:
+    return "NULL::VARCHAR" if value is None else "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@_query(f"""
+WITH w(ats, key, location, work_mode, posted, countries, description) AS (VALUES {", ".join("(" + ", ".join(map(_sql_text, (a, *rest))) + ")" for a, _, _, *rest in _PAYLOADS)})
+SELECT ats || ':s' || s_suppkey || ':' || replace(key, '{{k}}', CAST(s_suppkey AS VARCHAR)) AS id, 'Dev ' || s_suppkey AS title, s_name AS company, location, work_mode, posted, countries, description FROM supplier, w
+""")
+def q65_provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded payloads of every provider as classified postings."""
+    from ..sources import providers
+
+    k = F.col("s_suppkey").cast("string")
+    parts = []
+    for ats, token, body, *_ in _PAYLOADS:
+        rows = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k).alias("source_slug"), F.col("s_name").alias("name"), F.lit(token).alias("token"), F.replace(F.lit(body), F.lit("{k}"), k).alias("body"))
+        parts.append(providers.ADAPTERS[ats](rows, NOW))
+    found = geo.classify(coverage.union_all(parts))
+    return found.select("id", "title", "company", "location", "work_mode", F.date_format("updated_at", "yyyy-MM-dd").alias("posted"), F.array_join("eligible_countries", ",").alias("countries"), "description")
+
+
+@_query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT 'boards' AS kind, count(*) FILTER (k % 4 <> 0) AS n, sum(k) FILTER (k % 4 <> 0)::BIGINT AS total FROM s UNION ALL SELECT 'no boards', count(*) FILTER (k % 4 = 0), sum(k) FILTER (k % 4 = 0)::BIGINT FROM s
+UNION ALL SELECT 'tenants', count(*) FILTER (k % 3 = 0), sum(k) FILTER (k % 3 = 0)::BIGINT FROM s UNION ALL SELECT 'tenant leads', count(*) FILTER (k % 3 <> 0), sum(k) FILTER (k % 3 <> 0)::BIGINT FROM s
+UNION ALL SELECT 'excluded', count(DISTINCT n), sum(DISTINCT n)::BIGINT FROM s UNION ALL SELECT 'catalog', count(*), sum(k)::BIGINT FROM s UNION ALL SELECT 'candidates', count(*), sum(k)::BIGINT FROM s
+UNION ALL SELECT 'snapshot jobs', count(*), sum(k * n)::BIGINT FROM s UNION ALL SELECT 'snapshot partitions', count(DISTINCT n), count(DISTINCT n) FROM s UNION ALL SELECT 'leads', count(*) FILTER (k % 5 <> 0), sum(k) FILTER (k % 5 <> 0)::BIGINT FROM s
+UNION ALL SELECT 'seeds', count(*), sum(k)::BIGINT FROM s UNION ALL SELECT 'partitions kept', count(*), sum(CASE WHEN n = 3 THEN 2 * k ELSE k END)::BIGINT FROM s
+""")
+def q66_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind written to the shared folder and read by the library: pages, tenants, lists, catalogs, snapshots, leads; partitions replaced."""
+    import uuid
+
+    from ..functions.shared import shared_dir
+
+    at = f"{shared_dir(spark)}/readers-{uuid.uuid4().hex}"
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    k, n = F.col("k").cast("string"), F.col("n").cast("string")
+
+    def lines(name: str, text: Column) -> str:
+        s.select(text.alias("value")).write.text(f"{at}/{name}")
+        return f"{at}/{name}"
+
+    def one(name: str, text: Column, rows: DataFrame = s) -> str:
+        rows.agg(text.alias("value")).coalesce(1).write.text(f"{at}/{name}")
+        return f"{at}/{name}"
+
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
+    total = lambda kind, df, value: df.agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("long").alias("total")).select(F.lit(kind).alias("kind"), "n", "total")
+    url = F.concat(F.when(F.col("k") % 4 == 0, "https://www.example.com/acme").otherwise("https://jobs.lever.co/acme"), k)
+    boards, rest = snapshots.read_index_pages(spark, lines("pages", F.to_json(F.struct(url.alias("url")))))
+    with_site, without = snapshots.keka_tenants(spark, lines("tenants", F.concat(F.lit("acme"), k, F.lit(".keka.com"), F.when(F.col("k") % 3 == 0, ",https://acme.com").otherwise(""))))
+    excluded = snapshots.read_exclusions(spark, one("excluded", F.to_json(F.collect_list(F.concat(F.lit("Lever:"), n)))))
+    entry = F.struct(F.lit("A").alias("name"), F.lit("lever").alias("ats"), k.alias("token"), F.lit("a.com").alias("companyDomain"))
+    catalog = snapshots.read_catalog(spark, one("catalog", F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), k), entry))))))
+    wanted = F.struct(F.lit("A").alias("companyName"), F.lit("a.com").alias("companyDomain"), F.concat(F.lit("https://jobs.lever.co/"), k).alias("sourceUrl"), F.struct(F.lit("search").alias("channel"), F.lit("r").alias("reference")).alias("discoveredFrom"))
+    candidates = snapshots.read_candidates(spark, one("candidates", F.to_json(F.collect_list(wanted))))
+    job = F.struct(k.alias("id"), F.lit("T").alias("title"), n.alias("location"), F.lit("2026-08-01").alias("updatedAt"))
+    parts = s.groupBy("n").agg(F.collect_list(job).alias("jobs")).select(F.concat(F.lit("s"), n).alias("slug"), F.struct(F.lit("2026-08-02").alias("fetchedAt"), "jobs").alias("p"))
+    path = one("snapshot", F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(F.collect_list(F.struct("slug", "p"))).alias("partitions"))), parts)
+    jobs, held = snapshots.read_snapshot(spark, path)
+    key = F.concat(F.when(F.col("k") % 5 == 0, "ashby:").otherwise("lever:"), F.lit("t"), k)
+    leads = snapshots.read_registry(spark, lines("leads", F.to_json(F.struct(key.alias("source_key"), F.lit("lever").alias("ats"), F.concat(F.lit("T"), k).alias("token")))))
+    seeds = snapshots.read_seed_list(spark, lines("seeds", F.concat(F.lit("- [A"), k, F.lit("](https://a"), k, F.lit(".com/jobs) [x](https://www.linkedin.com/x)"))), ["linkedin.com"])
+    rows = s.select(F.concat(F.lit("s"), n).alias("source_slug"), "k")
+    snapshots.write_partitions(rows, f"{at}/jobs")
+    snapshots.write_partitions(rows.where("source_slug = 's3'").withColumn("k", 2 * F.col("k")), f"{at}/jobs")
+    return coverage.union_all([
+        total("boards", boards, number("token")), total("no boards", rest, number("url")), total("tenants", with_site, number("host")), total("tenant leads", without, number("host")), total("excluded", excluded, number("key")),
+        total("catalog", catalog, number("token")), total("candidates", candidates, number("source_url")), total("snapshot jobs", jobs, F.col("id").cast("long") * F.col("location").cast("long")), total("snapshot partitions", held, F.lit(1)),
+        total("leads", leads, number("token")), total("seeds", seeds, number("name")), total("partitions kept", spark.read.parquet(f"{at}/jobs"), F.col("k")),
+    ])
