@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, shared_dir
+
+__all__ = ["count_space_words", "cut", "literal_rows", "lower_ascii", "release", "shared_dir", "spread_join", "table", "whole", "write_shared"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A key of more than one in so many rows is hot; there are fewer hot keys than this.
@@ -41,33 +44,6 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(held), f"array<struct<{schema}>>")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Where the setting is missing, a local session (tests, a laptop) uses a temporary folder; any other one is an error,
-    since executors would write where nobody else can read.
-    """
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if held.isDefined():
-            path = held.get()
-        elif context.master == "local" or context.master.startswith("local["):
-            path = "file://" + tempfile.mkdtemp(prefix="vacantia-")
-        else:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not held.isDefined():
-        context.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back: a compressed, column-pruned cut."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

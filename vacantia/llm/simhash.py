@@ -16,8 +16,10 @@ components is lost. Components then grow by repeated hooking to the smallest nei
 jumping, distributed, each round cut by a checkpoint in the shared folder.
 
 ``keep_first``, the pipeline's stage, has a bar of its own: sets of five-word shingles of which two
-texts share 0.8. Seeded minimum hashes in bands (``near_copies``) give the candidates, the texts
-themselves decide, and groups grow in the same way.
+texts share 0.8. Fingerprints cannot give these candidates: of 48 such pairs of 10,000 documents 4 lie
+within four bits, the others differ in 5 to 13, and balls of 13 bits are out of reach. So seeded
+minimum hashes in bands (``near_copies``) give the candidates, the texts themselves decide, and groups
+grow in the same way.
 
 Defined results: null or blank text has fingerprint zero, linked like any other; repeated rows and
 equal texts share fingerprint and component; a null doc_id counts as no smallest id unless a
@@ -247,6 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns (default doc_id), ``fp`` and ``component_id``, the smallest doc_id reachable by links."""
     keep = keep or ["doc_id"]
+    if taken := sorted({"fp", "component_id", "n"} & {*keep}):
+        raise ValueError(f"columns of these names are added or used: {', '.join(taken)}")
     marked = cut(fingerprints(docs, keep, shingle))
     known = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
     n = known.count()
