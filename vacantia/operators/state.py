@@ -98,3 +98,14 @@ def preserved_catalog(catalog: DataFrame, verified: DataFrame, rejected: DataFra
     for key in ("slug", "company_domain", "source_key"):
         old = old.join(verified.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*catalog.columns)
     return verified.select(*catalog.columns).unionByName(old)
+
+
+def next_wave(attempts: DataFrame, waves: int = 2) -> DataFrame:
+    """Sources to try again in this run: their last attempt failed, and they had fewer than ``waves``. Rows: source, outcome, ordinal."""
+    tried = attempts.groupBy("source").agg(F.count(F.lit(1)).alias("attempts"), F.max_by("outcome", "ordinal").alias("last"))
+    return tried.where((F.col("last") != "success") & (F.col("attempts") < waves)).select("source", "attempts")
+
+
+def least_advanced(queries: DataFrame) -> DataFrame:
+    """The order of an index campaign: queries with the fewest pages done first, never begun before all."""
+    return queries.orderBy(F.asc_nulls_first("pages_done"), "id")

@@ -167,3 +167,9 @@ def site_yield(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
         *map(total, ["pages_fetched", "postings", "with_date", "with_identifier", "country_postings"]),
     )
     return totals, sites.orderBy(F.desc("postings"), "domain")
+
+
+def probe_phases(companies: DataFrame, order: str, size: int = 10, phases: int = 2) -> DataFrame:
+    """The companies that a structured-data probe looks at, in phases of a size; the later phase runs only if the first is ``viability``-proven."""
+    first = companies.orderBy(order).limit(size * phases)
+    return first.withColumn("phase", F.ceil(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) / size).cast("int"))  # so many rows at most

@@ -711,3 +711,36 @@ def q66_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
         total("catalog", catalog, number("token")), total("candidates", candidates, number("source_url")), total("snapshot jobs", jobs, F.col("id").cast("long") * F.col("location").cast("long")), total("snapshot partitions", held, F.lit(1)),
         total("leads", leads, number("token")), total("seeds", seeds, number("name")), total("partitions kept", spark.read.parquet(f"{at}/jobs"), F.col("k")),
     ])
+
+
+@_query("""
+WITH e AS (SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS last FROM events GROUP BY 1),
+w AS (SELECT s_suppkey AS k, s_suppkey % 4 AS v FROM supplier)
+SELECT 'wave' AS kind, count(*) AS n, coalesce(sum(user_id), 0)::BIGINT AS total FROM e WHERE last <> 'view' AND n < 67
+UNION ALL SELECT 'phase ' || p, count(*), sum(k)::BIGINT FROM (SELECT s_suppkey AS k, CAST(ceil(row_number() OVER (ORDER BY s_acctbal, s_suppkey) / 10) AS INTEGER) AS p FROM supplier) WHERE p <= 2 GROUP BY p
+UNION ALL SELECT 'complete', count(*), sum(k)::BIGINT FROM w WHERE v <> 3
+UNION ALL SELECT 'expected', count(*), sum(CASE WHEN v = 3 THEN 4 ELSE 2 END)::BIGINT FROM w
+UNION ALL SELECT 'facets', count(*), sum(k)::BIGINT FROM w WHERE v = 1
+UNION ALL SELECT 'candidates', 3 * count(*), 6 * count(*) FROM w
+""")
+def q67_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second waves of a crawl, phases of a probe, whole listings, addresses of company sites with their sitemaps."""
+    from ..sources import providers
+
+    e, s = _t(spark, sf_dir, "events"), _t(spark, sf_dir, "supplier")
+    total = lambda kind, df, value: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total")).select(F.lit(kind).alias("kind"), "n", "total")
+    wave = state.next_wave(e.select(F.col("user_id").alias("source"), F.when(F.col("event_type") == "view", "success").otherwise("failure").alias("outcome"), F.col("event_id").alias("ordinal")), 67)
+    ranked = s.withColumn("by", F.concat(F.lpad(F.format_string("%.2f", F.col("s_acctbal") + 100000.0), 12, "0"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")))
+    phases = verification.probe_phases(ranked, "by").groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("total")).select(F.concat(F.lit("phase "), F.col("phase").cast("string")).alias("kind"), "n", "total")
+    k, v = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    row = '{"title":"T","externalPath":"/a","locationsText":"%s"}'
+    body = F.concat(F.lit('{"jobPostings":[' + row % "Pune" + ","), F.when(v == 1, row % "").otherwise(row % "Pune"), F.lit(',{"title":"none","locationsText":"Pune"}],"total":'), F.when(v == 3, "5").otherwise("3"), F.lit("}"))
+    listed = providers.workday_complete(s.select(k.alias("source_slug"), body.alias("body")))
+    slug = F.col("source_slug").cast("long")
+    site = F.concat(F.lit("https://acme"), k, F.lit(".com"))
+    pages = s.select(k.alias("source_slug"), F.concat(site, F.lit("/jobs")).alias("url"), F.lit('<a href="/b">b</a><a href="/a">a</a><a href="https://evil.com/x">x</a><a href="/a">again</a>').alias("html"))
+    maps = s.select(k.alias("source_slug"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ordinal"), site.alias("site")).select("source_slug", "ordinal", F.concat(F.lit("<loc>"), F.col("site"), F.lit("/m"), F.col("ordinal").cast("string"), F.lit("</loc>")).alias("xml"))
+    found = providers.site_candidates(pages, maps, s.select(k.alias("source_slug"), F.concat(F.lit("acme"), k, F.lit(".com")).alias("company_domain")), 3)
+    return coverage.union_all([
+        total("wave", wave, F.col("source")), phases, total("complete", listed.where("complete"), slug), total("expected", listed, F.col("expected")), total("facets", listed.where("facets_needed"), slug), total("candidates", found, F.col("place")),
+    ])

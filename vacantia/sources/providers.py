@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, html, urls
@@ -121,6 +121,23 @@ def workday(payloads: DataFrame, now: datetime) -> DataFrame:
     return jobs.groupBy("id").agg(F.min_by(F.struct(*names), "ordinal").alias("r")).select(*[F.col("id") if c == "id" else F.col("r")[c].alias(c) for c in jobs.columns])
 
 
+WORKDAY_MOST, WORKDAY_CAP = 100_000, 2_000
+
+
+def workday_complete(payloads: DataFrame) -> DataFrame:
+    """Per source: what its pages list against the total they state.
+
+    ``complete``: the total is in range and all of it was listed (a short page is not complete); ``expected``: postings, that is
+    the total less rows without a path; ``facets_needed``: the listing may be cut at the provider's cap, or lacks places.
+    """
+    pages = payloads.select("source_slug", F.from_json("body", WORKDAY).alias("b")).where("b.total IS NOT NULL")
+    rows = F.coalesce("b.jobPostings", F.array().cast("array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,bulletFields:array<string>>>"))
+    without = F.size(F.filter(rows, lambda r: r["externalPath"].isNull()))
+    unplaced = F.size(F.filter(rows, lambda r: F.coalesce(r["locationsText"], F.lit("")) == ""))
+    held = pages.groupBy("source_slug").agg(F.max("b.total").alias("total"), F.sum(F.size(rows)).alias("listed"), F.sum(without).alias("dropped"), F.sum(unplaced).alias("unplaced"))
+    return held.select("source_slug", "total", "listed", (F.col("total").between(0, WORKDAY_MOST) & (F.col("listed") == F.col("total"))).alias("complete"), (F.col("total") - F.col("dropped")).alias("expected"), ((F.col("total") >= WORKDAY_CAP) | (F.col("unplaced") > 0)).alias("facets_needed"))
+
+
 def workday_country_pass(jobs: DataFrame, facet: DataFrame, code: str) -> DataFrame:
     """Add a country to the jobs that its own listing names, and the jobs only that listing has; these are explicit."""
     named = facet.select("id", F.lit(True).alias("_named"))
@@ -292,6 +309,24 @@ def stop_at_age(jobs: DataFrame, days: int, now: datetime) -> DataFrame:
     return jobs.where(F.col("updated_at").isNull() | dates.within_window(F.col("updated_at"), days, now))
 
 
+SITEMAPS = 3
+
+
+def site_candidates(pages: DataFrame, sitemaps: DataFrame, catalog: DataFrame, cap: int) -> DataFrame:
+    """Addresses to read of company sites: links of their pages, then those of the first sitemaps; own domain, each once, ``cap`` a source.
+
+    ``pages``: source_slug, url, html; ``sitemaps``: source_slug, ordinal, xml.
+    """
+    turn = F.row_number().over(Window.partitionBy("source_slug").orderBy("ordinal"))
+    few = sitemaps.withColumn("_turn", turn).where(F.col("_turn") <= SITEMAPS)
+    linked = pages.select("source_slug", F.lit(0).alias("kind"), F.explode(html.extract_links(F.col("html"), F.col("url"))).alias("link"))
+    mapped = few.select("source_slug", F.lit(1).alias("kind"), F.explode(html.sitemap_locations(F.col("xml"))).alias("link"))
+    own = linked.unionByName(mapped).join(catalog.select("source_slug", "company_domain"), "source_slug").where(urls.owned_by(F.col("link"), F.col("company_domain")))
+    once = own.groupBy("source_slug", "link").agg(F.min("kind").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("source_slug").orderBy("kind", "link"))
+    return once.withColumn("place", place).where(F.col("place") <= cap).select("source_slug", "place", "link")
+
+
 def site_postings(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """Structured postings of company pages ``source_slug, url, html``: own domain only, the last of an identifier wins."""
     found = pages.join(catalog.select("source_slug", "name", "company_domain"), "source_slug").where(urls.owned_by(F.col("url"), F.col("company_domain")))
