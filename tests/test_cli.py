@@ -15,3 +15,10 @@ def test_import_search_and_audit(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["totals"][0]["eligible_jobs"] == 1
     main(["coverage", *data, "--input", '{"countries": ["IN"]}'])
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["coverage"][0]["jobs"] == 1
+    resume = "# Jo\n## Skills\nJava\n## Experience\nBackend Engineer at Beta 2015 to 2019"
+    said = lambda *given: main([given[0], *data, "--input", json.dumps(given[1])]) or json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said("watch", {"name": "w", "resume": {"content": resume, "format": "markdown"}})["already_live"] == 1
+    assert said("watches", {})["watches"] == [{"name": "w", "holds": said("watches", {})["watches"][0]["holds"], "seen": 1}] and said("check", {"name": "w"})["total_new"] == 0
+    assert said("stop", {"name": "w"}) == {"stopped": True} and said("watches", {})["watches"] == []
+    assert said("sources", {"slugs": ["a"]})[0]["state"] == "fresh"
+    assert [(r["source_slug"], r["jobs"]) for r in said("export", {"path": f"{tmp_path}/x"})] == [("a", 1)]
