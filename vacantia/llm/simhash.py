@@ -402,9 +402,10 @@ def near_copies(rows: DataFrame) -> DataFrame:
     edges = judged(ends.select(F.least("node", "end").alias("b"), F.greatest("node", "end").alias("a")))
     root = components(edges)
     placed = members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")).where("x <> y").select("key", "pieces")
+    placed = cut(placed)
+    apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), "n"))
     # a node is held in one piece of its bucket and asks those after it
-    placed = placed.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    placed = spread_join(placed, apart, "key", placed.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     placed = placed.select("key", "node", "root", "own", F.explode(F.sequence("own", F.col("pieces") - 1)).alias("piece"))
     placed = placed.join(texts, "node").select("key", "piece", (F.col("own") != F.col("piece")).alias("asks"), "node", "root", "text")
     more = cut(placed.repartition("key", "piece").sortWithinPartitions("key", "piece", "asks").mapInArrow(_alike, "a long, b long"))
@@ -418,8 +419,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     held = write_shared(docs.select(whole(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     rows = held.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
     placed = cut(near_copies(rows).join(rows.select("row", "id"), "row"))
-    least = placed.groupBy("root").agg(F.min("id").alias("least"))
-    firsts = cut(placed.join(least, "root").where(F.col("id").eqNullSafe(F.col("least"))).select("root", "row"))
+    least = cut(placed.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    firsts = cut(spread_join(placed, least, "root", placed.count()).where(F.col("id").eqNullSafe(F.col("least"))).select("root", "row"))
     counts = firsts.groupBy("root").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
     once = held.join(counts.where("n = 1").select("row"), "row", "left_semi").select("doc")
     often = firsts.join(counts.where("n > 1").select("root"), "root").join(held, "row").groupBy("root").agg(F.min("doc").alias("doc")).select("doc")
