@@ -88,7 +88,8 @@ def mixed(rows, weights=(3, 1, 2), blocks=65_536, few=64, shards=8):
     for s in names:
         words = min(held[s] * unit[s] if unit[s] == block else int(target[s] + 0.5), 2 * whole[s])
         ends = [sum(quota[s][: k + 1]) * unit[s] if unit[s] == block else words * (k + 1) // shards for k in range(shards)]
-        own = sorted((n for n in range(len(rows)) if rows[n][2] == s), key=lambda n: (number("" if rows[n][0] is None else rows[n][0]), rows[n][0] is not None, rows[n][0] or 0, size[n]))
+        name = lambda n: rows[n][0] if rows[n][0] is not None else hashlib.md5((rows[n][1] or "").encode()).hexdigest()
+        own = sorted((n for n in range(len(rows)) if rows[n][2] == s), key=lambda n: (number(name(n)), rows[n][0] is not None, rows[n][0] or 0, size[n]))
         line = [n for n in own for _ in range(size[n])]
         start = number(s or "") % whole[s] // unit[s] * unit[s] if whole[s] else 0
         for j in range(words):

@@ -79,7 +79,9 @@ def quotas(wanted: DataFrame, block: int, seats: int, shards: int = SHARDS) -> D
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, shard`` of every row."""
-    rows = cut(docs.select("doc_id", "source", count_space_words(F.col("text")).alias("size")))
+    # rows without an id stand where their text's hash says, so that they are spread as others are
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    rows = cut(docs.select("doc_id", "source", count_space_words(F.col("text")).alias("size"), _hash60(name).alias("turn")))
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     wanted = targets(sizes, weights, share, cap)
     total = wanted.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
 
-    laid = rows.join(plan, rows["source"].eqNullSafe(plan["own"])).withColumn("turn", _hash60(F.col("doc_id")))
+    laid = rows.join(plan, rows["source"].eqNullSafe(plan["own"]))
     laid = laid.withColumn("range", F.shiftright("turn", 60 - RANGE_BITS))
     inside = Window.partitionBy("at", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranges = laid.groupBy("at", "range").agg(F.sum("size").alias("held"))
