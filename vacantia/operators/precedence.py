@@ -50,18 +50,19 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
-def merged_length(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
+def merged_length(rows: DataFrame, group: str, start: str, end: str, suppress: bool = True) -> DataFrame:
     """Total length of each group's intervals, overlaps counted once; suppressed (null) if an interval is open.
 
-    Gaps and islands: an interval begins an island where no earlier one reaches it.
+    Gaps and islands: an interval begins an island where no earlier one reaches it, and adds what lies beyond
+    their reach. One window gives both, so equal intervals count alike in whatever order they come. Without
+    ``suppress``, an open interval adds nothing and reaches nothing; it is an island where it lies in none.
     """
-    closed = F.coalesce(end, start)
-    before = Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reached = rows.withColumn("_reach", F.max(closed).over(before))
-    marked = reached.withColumn("_new", F.when(F.col(start) <= F.col("_reach"), 0).otherwise(1))
-    island = marked.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = island.groupBy(group, "_island").agg(F.min(start).alias("_a"), F.max(closed).alias("_z"), F.max(F.col(end).isNull()).alias("_open"))
-    return spans.groupBy(group).agg(F.when(~F.max("_open"), F.sum(F.col("_z") - F.col("_a"))).alias("length"), F.count(F.lit(1)).alias("islands"))
+    closed = F.coalesce(end, start) if suppress else F.col(end)
+    before = Window.partitionBy(group).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end)).rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("_reach", F.max(closed).over(before)).withColumn("_new", F.when(F.col(start) <= F.col("_reach"), 0).otherwise(1))
+    added = F.sum(F.when(F.col("_new") == 1, closed - F.col(start)).otherwise(F.greatest(closed - F.col("_reach"), F.lit(0))))
+    length = F.when(~F.max(F.col(end).isNull()), added) if suppress else added
+    return marked.groupBy(group).agg(length.alias("length"), F.sum("_new").alias("islands"))
 
 
 def pick_priority(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -385,7 +385,7 @@ def q21_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that a supplier ships on, overlapping intervals merged."""
     line = _t(spark, sf_dir, "lineitem")
     start = F.unix_date(F.to_date("l_shipdate")).cast("long")
-    return precedence.merged_length(line.select("l_suppkey", start.alias("a"), (start + F.col("l_linenumber")).alias("z")), "l_suppkey", "a", "z")
+    return precedence.merged_length(line.select("l_suppkey", start.alias("a"), (start + F.col("l_linenumber")).alias("z")), "l_suppkey", "a", "z", suppress=False)
 
 
 @_query("""
