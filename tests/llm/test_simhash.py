@@ -141,6 +141,66 @@ def test_near_copies_of_one_template(spark, monkeypatch):
         assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(first.values())
 
 
+def at_the_bar(rnd, size):
+    """Two sets of shingle hashes that share just 0.8 of their union, or the next more."""
+    both = rnd.integers(0, 1 << 63, size).astype(np.uint64)
+    apart = rnd.integers(0, 1 << 63, size // 4).astype(np.uint64)
+    cut = int(rnd.integers(0, len(apart) + 1))
+    return np.unique(np.append(both, apart[:cut])), np.unique(np.append(both, apart[cut:]))
+
+
+def test_long_fingerprints_reach_the_bar():
+    """Pairs at the bar share segments and lie within the distance; unlike ones do not."""
+    rnd = np.random.default_rng(2)
+    width, number = simhash.long_segments(10**6)
+    per, words = 64 // width, simhash.long_words(10**6)
+    assert words == simhash.CHECK + -(-number // per)
+    shared, far, unlike = [], [], []
+    for size in (4, 8, 20, 60, 300):
+        for _ in range(60):
+            x, y = (simhash.long_fingerprint(s, words) for s in at_the_bar(rnd, size))
+            cut = lambda f: [int(f[simhash.CHECK + k // per]) >> k % per * width & (1 << width) - 1 for k in range(number)]
+            shared.append(sum(a == b for a, b in zip(cut(x), cut(y), strict=True)))
+            far.append(int(np.bitwise_count(x[: simhash.CHECK] ^ y[: simhash.CHECK]).sum()))
+            other = simhash.long_fingerprint(at_the_bar(rnd, size)[0], words)
+            unlike.append(int(np.bitwise_count(x[: simhash.CHECK] ^ other[: simhash.CHECK]).sum()))
+    assert min(shared) > 0 and np.mean(shared) > 10 and max(far) <= simhash.FAR < min(unlike)
+
+
+def test_long_links_connect_what_shares_a_segment(spark):
+    """Against all pairs, in whole buckets and in pieces: a dense family, chains and unlike fingerprints."""
+    rnd = random.Random(6)
+    width, number = simhash.long_segments(100)
+    per, words = 64 // width, simhash.long_words(100)
+    fps = [[rnd.getrandbits(64) for _ in range(words)] for _ in range(40)]
+    for base, n, most in ((fps[0], 150, 1), (fps[1], 30, 4), (fps[2], 30, 8)):
+        for _ in range(n):
+            base = [w ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, most))) for w in (base if most > 1 else fps[0])]
+            fps.append(base)
+    held = np.array(fps, np.uint64)
+    ids = simhash._identity(held[:, : simhash.CHECK])
+    cut = np.stack([held[:, simhash.CHECK + k // per] >> np.uint64(k % per * width) & np.uint64((1 << width) - 1) for k in range(number)], axis=1)
+    root = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (cut[a] == cut[b]).any() and np.bitwise_count(held[a, : simhash.CHECK] ^ held[b, : simhash.CHECK]).sum() <= simhash.FAR:
+                root = [root[b] if r == root[a] else r for r in root]
+    docs = spark.createDataFrame([(w.tolist(),) for w in held.view(np.int64)], "words array<long>")
+    for piece in (None, 16):
+        got = {r.node: r.root for r in simhash.components(simhash.long_links(docs, 100, piece)).collect()}
+        named = [got.get(i, i) for i in ids.view(np.int64).tolist()]
+        assert len({*zip(root, named, strict=True)}) == len({*root}) == len({*named})
+
+
+def test_candidates_come_by_fingerprints(spark, monkeypatch):
+    """Near copies meet by linked fingerprints alone: without any link each stays."""
+    words = [f"w{k}" for k in range(90)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:-1]))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_first(docs).collect()] == [0]
+    monkeypatch.setattr(simhash, "long_links", lambda *_: spark.createDataFrame([], "a long, b long"), raising=False)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [0, 1]
+
+
 def test_rows_stay_whatever_their_ids(spark):
     """Groups count, not ids: null ids with several texts, one id with two texts, one of them a copy."""
     words = [" ".join(f"{a}{k}" for k in range(40)) for a in "abcdef"]

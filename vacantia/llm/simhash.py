@@ -16,10 +16,12 @@ components is lost. Components then grow by repeated hooking to the smallest nei
 jumping, distributed, each round cut by a checkpoint in the shared folder.
 
 ``keep_first``, the pipeline's stage, has a bar of its own: sets of five-word shingles of which two
-texts share 0.8. Fingerprints cannot give these candidates: of 48 such pairs of 10,000 documents 4 lie
-within four bits, the others differ in 5 to 13, and balls of 13 bits are out of reach. So seeded
-minimum hashes in bands (``near_copies``) give the candidates, the texts themselves decide, and groups
-grow in the same way.
+texts share 0.8. Its fingerprints are longer, since at that bar every bit differs with a chance of
+``acos(8/9) / pi``, 0.152: of 64 bits some ten, beyond any ball. They are cut into so many segments that
+two texts at the bar share one unless by a chance stated below, each segment asks its own bucket alone
+(a ball of radius 0 gives most pairs a row), and the distance over ``CHECK`` further words decides which
+are linked (``long_links``). Components of the links are candidates; within them the texts themselves
+decide (``near_copies``), and groups grow in the same way.
 
 Defined results: null or blank text has fingerprint zero, linked like any other; repeated rows and
 equal texts share fingerprint and component; a null doc_id counts as no smallest id unless a
@@ -29,6 +31,7 @@ component has no other; other columns are ignored; the whole text is used whatev
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +56,17 @@ TEST_COST = 0.002
 #: Near copies: words of a shingle and percent of shingles to share, of all that either text has.
 WORDS = 5
 LIKE = 80
-#: Bands and minimum hashes in each: of pairs that share just 0.8, (1 - 0.8**4)**32, one in 20 million, meet in no band; of closer ones fewer.
-BANDS = 32
-ROWS = 4
-#: Texts of a bucket that one task holds at once.
+#: Bits of a segment of the long fingerprints, at least; a bit more each time their buckets exceed ``BUCKET`` on average.
+WIDTH = 12
+#: Chance that a bit differs at the bar, the worst of all sizes of sets (of four shingles and five; 0.152 for large ones), and that no segment is shared then.
+APART, MISS = 0.1875, 1e-4
+#: Words of the long fingerprints whose bits make the distance, and how many may differ: 29 do at the bar, with a deviation of 5, and 96 of unlike texts.
+CHECK, FAR = 3, 60
+#: Long fingerprints of a bucket that one task holds at once; buckets up to ``FEW`` are compared all together.
+HELD = 1 << 16
+FEW = 64
+#: Texts of a group that one task holds at once.
 PIECE = 2048
-_MASKS, _ODDS, _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
-_ODDS, _MIXERS = _ODDS | np.uint64(1), _MIXERS | np.uint64(1)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -356,61 +363,202 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key a band, of the least values of ``ROWS`` seeded hashes over the distinct shingles."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, max(1, len(shingles)), 1024):
-        some = shingles[k : k + 1024] if len(shingles) else np.zeros(1, np.uint64)
-        least = np.minimum(least, ((some[:, None] ^ _MASKS) * _ODDS).min(axis=0))
-    return (least * _MIXERS).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+def long_segments(n: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments of the long fingerprints, for n texts."""
+    from math import ceil, log, log2
 
+    width = max(WIDTH, ceil(log2(max(1, n) / BUCKET)))
+    return width, ceil(log(MISS) / log(1 - (1 - APART) ** width))
+
+
+def long_words(n: int) -> int:
+    """Words of a long fingerprint: those of the distance, then the segments, as many as fit in each word."""
+    width, number = long_segments(n)
+    return CHECK - -number // (BITS // width)
+
+
+@cache
+def _mixers(words: int) -> np.ndarray:
+    masks, odds, more = np.random.default_rng(SEED).integers(0, 1 << 64, (words, 3), np.uint64).T
+    return np.stack((masks, odds | np.uint64(1), more | np.uint64(1)))
+
+
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """So many independent words a hash."""
+    masks, odds, more = _mixers(words)
+    out = (hashes[:, None] ^ masks) * odds
+    out ^= out >> np.uint64(32)
+    out *= more
+    return out ^ (out >> np.uint64(32))
+
+
+def long_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """A bit is 1 if over half the distinct shingles have it; the least shingle decides a tie. No shingles give 0."""
+    total = np.zeros(BITS * words, np.int64)
+    for k in range(0, len(shingles), 255):
+        total += np.unpackbits(_mixed(shingles[k : k + 255], words).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    if len(shingles):
+        total = 2 * total + np.unpackbits(_mixed(shingles[:1], words).view(np.uint8))
+    return np.packbits(total > len(shingles)).view(np.uint64)
+
+
+def _identity(fps: np.ndarray) -> np.ndarray:
+    """One word for the words of the distance."""
+    return (fps * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), WORDS)) for x in batch.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([long_fingerprint(s, words) for s in sets], np.uint64).reshape(-1, words)
+            held = pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(_identity(fps[:, :CHECK]).view(np.int64)), held], names=["row", "node", "size", "fp", "words"])
+
+    return run
+
+
+class _Span:
+    """Labels of the long fingerprints that a task holds of one bucket; ``join`` gives an edge only where it joins two labels."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.ids, self.label = fps, _identity(fps), np.arange(len(fps))
+
+    def join(self, fps: np.ndarray, own: bool = False) -> list[tuple[int, int]]:
+        """Edges of ``fps`` to those held; ``own``: of those held among each other."""
+        edges, ids, label, step = [], _identity(fps), self.label, max(1, (1 << 16) // len(self.fps))
+        for k in range(0, len(fps), step):
+            begin = k if own else 0
+            some, held = fps[k : k + step], self.fps[begin:]
+            apart = sum(np.bitwise_count(some[:, None, w] ^ held[None, :, w]) for w in range(CHECK))
+            near = (apart <= FAR) & (ids[k : k + step, None] != self.ids[None, begin:])
+            for x in np.flatnonzero(near.any(axis=1)).tolist():
+                at = begin + np.flatnonzero(near[x])
+                mine = label[k + x] if own else None
+                at = at[label[at] != mine] if own else at
+                while len(at):
+                    met = label[at[0]]
+                    edges.append((int(ids[k + x]), int(self.ids[at[0]])))
+                    if mine is None:
+                        mine = met
+                    label[label == met] = mine
+                    at = at[label[at] != mine]
+        return edges
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by ``spot``, twice the bucket's piece and one more for a question to it; edges between identities."""
+    here, held, span = None, [], None
+
+    def packed(edges: list) -> Iterator[pa.RecordBatch]:
+        if edges:
+            pairs = np.array(edges, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(shingle_hashes(x.as_py(), WORDS)) for x in batch.column("text")]
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "node", "n", "keys"])
+        if not batch.num_rows:
+            continue
+        spot = batch.column(0).to_numpy(zero_copy_only=False)
+        fps = np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 1 + CHECK)], axis=1)
+        begins = np.concatenate(([0], np.flatnonzero(spot[1:] != spot[:-1]) + 1))
+        ends = np.append(begins[1:], len(spot))
+        # small buckets that lie in this batch alone, without questions, are compared at once
+        small = (spot[begins] % 2 == 0) & (ends - begins <= FEW)
+        small[[0, -1]] = False
+        small[:-1] &= spot[begins[1:]] // 2 != spot[begins[:-1]] // 2
+        small_row = np.repeat(small, ends - begins)
+        times = np.where(small_row, np.repeat(ends, ends - begins) - np.arange(len(spot)) - 1, 0)
+        one = np.repeat(np.arange(len(spot)), times)
+        other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+        apart = sum(np.bitwise_count(fps[one, w] ^ fps[other, w]) for w in range(CHECK))
+        near = apart <= FAR
+        edges = np.stack((_identity(fps[one[near]]), _identity(fps[other[near]])), axis=1)
+        edges = edges[edges[:, 0] != edges[:, 1]].tolist()
+        for a, b in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+            bucket, asks = int(spot[a]) // 2, int(spot[a]) % 2
+            if held and span is None and (bucket != here or asks):
+                span = _Span(np.concatenate(held))
+                edges += span.join(span.fps, own=True)
+            if bucket != here:
+                here, held, span = bucket, [], None
+            if not asks:
+                held.append(fps[a:b])
+            elif span is not None:
+                edges += span.join(fps[a:b])
+        yield from packed(edges)
+    if held and span is None:
+        span = _Span(np.concatenate(held))
+        yield from packed(span.join(span.fps, own=True))
+
+
+def long_links(nodes: DataFrame, n: int, held: int | None = None) -> DataFrame:
+    """Edges ``a, b`` between identities of long fingerprints (column ``words``, for n texts) that share a segment and differ in at most ``FAR`` bits.
+
+    A bucket of more than ``held`` is dealt in pieces: a fingerprint is held in one and asks those after it. Which
+    are so full is told from one in 16 fingerprints, which decides the number of pieces alone.
+    """
+    held = held or HELD
+    width, number = long_segments(n)
+    per = BITS // width
+    value = f"shiftrightunsigned(words[{CHECK} + cast(floor(s / {per}) as int)], cast(s % {per} as int) * {width}) & {(1 << width) - 1}L"
+    table = nodes.select("words", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("s")).select(F.expr(f"s * {1 << width}L + ({value})").alias("key"), *(F.col("words")[k].alias(f"f{k}") for k in range(CHECK)))
+    mark = F.xxhash64(*(f"f{k}" for k in range(CHECK)))
+    full = cut(table.where(F.pmod(mark, F.lit(16)) == 0).groupBy("key").count().where(F.col("count") > held / 16).select("key", F.ceil(16 * F.col("count") / held).cast("int").alias("pieces")))
+    n_full = full.count()
+    if not n_full:
+        dealt = table.withColumn("spot", F.col("key") * (1 << 17))
+    else:
+        wide = table.join(F.broadcast(full) if n_full <= BROADCAST_ROWS else full, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        wide = wide.withColumn("own", F.pmod(F.shiftright(mark, 8), F.col("pieces")).cast("int")).withColumn("piece", F.explode(F.sequence("own", F.col("pieces") - 1)))
+        dealt = wide.withColumn("spot", F.col("key") * (1 << 17) + F.col("piece") * 2 + (F.col("own") != F.col("piece")).cast("int"))
+    dealt = dealt.select("spot", *(f"f{k}" for k in range(CHECK))).repartition(F.shiftright("spot", 1)).sortWithinPartitions("spot")
+    return dealt.mapInArrow(_close, "a long, b long")
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
     """``row, root`` of rows (``row``, ``text``): one root for texts joined by shares of ``LIKE`` percent and more.
 
-    Texts with one set of shingles are one node. Nodes that share a band key stand in one bucket; buckets
-    of the same nodes count once. Every node is held against the least and greatest of its buckets, and
-    those of a bucket that are then still apart against each other, within the task that holds the bucket or
-    a piece of it: texts decide, not keys, and a task returns spanning edges only.
+    Texts with one set of shingles are one node. Nodes whose long fingerprints are linked, over others too, are
+    one group of candidates. Every node is held against the least and greatest of its group, and those of a
+    group that are then still apart against each other, within the task that holds the group or a piece of it:
+    texts decide, not fingerprints, and a task returns spanning edges only.
     """
-    marked = write_shared(rows.select("row", "text").mapInArrow(_sketches, "row long, node long, n long, keys array<long>"), "sketches")
-    nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
-    kinds = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("held > 1")
-    kinds = cut(kinds.groupBy("held", "low", "high", "mark").agg(F.min("key").alias("key")))
-    members = cut(dealt.join(kinds.select("key", "low", "high"), "key"))
-    texts = members.select("node").distinct().join(nodes.select("node", "row"), "node").join(rows.select("row", "text"), "row")
-    texts = write_shared(texts.select("node", "text"), "candidates")
-    sizes = nodes.select("node", "n")
+    count = rows.count()
+    marked = write_shared(rows.select("row", "text").mapInArrow(_sketches(long_words(count)), "row long, node long, size long, fp long, words array<long>"), "sketches")
+    nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("words").alias("words")))
+    group = components(long_links(nodes, count)).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+    dealt = cut(nodes.select("node", "row", "size", "fp").join(group, "fp", "left").select("node", "row", "size", F.coalesce("key", "fp").alias("key")))
+    kinds = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    members = cut(spread_join(dealt, kinds, "key", count))
+    texts = write_shared(members.select("node", "row").join(rows.select("row", "text"), "row").select("node", "text"), "candidates")
+    sizes = members.select("node", "size")
 
     def judged(pairs: DataFrame) -> DataFrame:
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
         return cut(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"))
 
-    fits = 100 * F.least("n", "m") >= LIKE * F.greatest("n", "m")
-    ends = members.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node <> end").distinct()
-    ends = ends.join(sizes.select(F.col("node").alias("end"), F.col("n").alias("m")), "end").where(fits)
+    fits = 100 * F.least("size", "m") >= LIKE * F.greatest("size", "m")
+    ends = members.select("node", "size", F.explode(F.array("low", "high")).alias("end")).where("node <> end").distinct()
+    ends = ends.join(sizes.select(F.col("node").alias("end"), F.col("size").alias("m")), "end").where(fits)
     edges = judged(ends.select(F.least("node", "end").alias("b"), F.greatest("node", "end").alias("a")))
-    root = components(edges)
-    placed = members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    placed = cut(placed)
+    # all these edges lead to an end of a group, so its roots follow without rounds: the least, and the greatest if nothing joins it to that
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("end"))
+    of_low, of_high = F.col("node") == F.col("low"), F.col("node") == F.col("high")
+    met = members.join(both, "node", "left").groupBy("key", "node", "low", "high").agg(F.coalesce(F.max(F.col("end") == F.col("low")), F.lit(False)).alias("at_low"), F.coalesce(F.max(F.col("end") == F.col("high")), F.lit(False)).alias("at_high"))
+    met = cut(met.select("key", "node", "low", "high", (of_low | F.col("at_low")).alias("at_low"), (of_high | F.col("at_high")).alias("at_high")))
+    joined = cut(met.groupBy("key").agg(F.max(F.col("at_low") & F.col("at_high")).alias("one"), F.count(F.lit(1)).alias("n")))
+    root = F.when(F.col("at_low") | (F.col("at_high") & F.col("one")), F.col("low")).when(F.col("at_high"), F.col("high")).otherwise(F.col("node"))
+    placed = cut(spread_join(met, joined, "key", count).select("key", "node", root.alias("root")))
     apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), "n"))
-    # a node is held in one piece of its bucket and asks those after it
+    found = placed.select("node", "root")
+    # a node is held in one piece of its group and asks those after it
     placed = spread_join(placed, apart, "key", placed.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     placed = placed.select("key", "node", "root", "own", F.explode(F.sequence("own", F.col("pieces") - 1)).alias("piece"))
     placed = placed.join(texts, "node").select("key", "piece", (F.col("own") != F.col("piece")).alias("asks"), "node", "root", "text")
     more = cut(placed.repartition("key", "piece").sortWithinPartitions("key", "piece", "asks").mapInArrow(_alike, "a long, b long"))
-    if not more.isEmpty():
-        root = components(edges.unionAll(more))
+    root = found if more.isEmpty() else components(edges.unionAll(more))
     return marked.select("row", "node").join(root, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
 
 
