@@ -520,8 +520,8 @@ def near_copies(rows: DataFrame) -> DataFrame:
     """``row, root`` of rows (``row``, ``text``): one root for texts joined by shares of ``LIKE`` percent and more.
 
     Texts with one set of shingles are one node. Nodes whose long fingerprints are linked, over others too, are
-    one group of candidates. Every node is held against the least and greatest of its group, and those of a
-    group that are then still apart against each other, within the task that holds the group or a piece of it:
+    one group of candidates. Every node is held against the least of its group, and those of a group that are
+    then still apart against each other, within the task that holds the group or a piece of it:
     texts decide, not fingerprints, and a task returns spanning edges only.
     """
     count = rows.count()
@@ -529,28 +529,15 @@ def near_copies(rows: DataFrame) -> DataFrame:
     nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("words").alias("words")))
     group = components(long_links(nodes, count)).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     dealt = cut(nodes.select("node", "row", "size", "fp").join(group, "fp", "left").select("node", "row", "size", F.coalesce("key", "fp").alias("key")))
-    kinds = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    kinds = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("key", "n", F.col("low.node").alias("low"), F.col("low.size").alias("m")))
     members = cut(spread_join(dealt, kinds, "key", count))
     texts = write_shared(members.select("node", "row").join(rows.select("row", "text"), "row").select("node", "text"), "candidates")
-    sizes = members.select("node", "size")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-        return cut(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"))
-
-    fits = 100 * F.least("size", "m") >= LIKE * F.greatest("size", "m")
-    ends = members.select("node", "size", F.explode(F.array("low", "high")).alias("end")).where("node <> end").distinct()
-    ends = ends.join(sizes.select(F.col("node").alias("end"), F.col("size").alias("m")), "end").where(fits)
-    edges = judged(ends.select(F.least("node", "end").alias("b"), F.greatest("node", "end").alias("a")))
-    # all these edges lead to an end of a group, so its roots follow without rounds: the least, and the greatest if nothing joins it to that
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("end"))
-    of_low, of_high = F.col("node") == F.col("low"), F.col("node") == F.col("high")
-    met = members.join(both, "node", "left").groupBy("key", "node", "low", "high").agg(F.coalesce(F.max(F.col("end") == F.col("low")), F.lit(False)).alias("at_low"), F.coalesce(F.max(F.col("end") == F.col("high")), F.lit(False)).alias("at_high"))
-    met = cut(met.select("key", "node", "low", "high", (of_low | F.col("at_low")).alias("at_low"), (of_high | F.col("at_high")).alias("at_high")))
-    joined = cut(met.groupBy("key").agg(F.max(F.col("at_low") & F.col("at_high")).alias("one"), F.count(F.lit(1)).alias("n")))
-    root = F.when(F.col("at_low") | (F.col("at_high") & F.col("one")), F.col("low")).when(F.col("at_high"), F.col("high")).otherwise(F.col("node"))
-    placed = cut(spread_join(met, joined, "key", count).select("key", "node", root.alias("root")))
+    # a node is first held against the least of its group alone, so roots follow without rounds
+    ends = members.where("node <> low").where(100 * F.least("size", "m") >= LIKE * F.greatest("size", "m")).select(F.col("low").alias("b"), F.col("node").alias("a"))
+    right, left = texts.select(F.col("node").alias("b"), F.col("text").alias("right")), texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    edges = cut(ends.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"))
+    near = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    placed = cut(members.select("key", "node").join(near, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), "n"))
     found = placed.select("node", "root")
     # a node is held in one piece of its group and asks those after it
