@@ -65,6 +65,22 @@ def test_links_connect_all_within_the_radius(spark):
     assert edges.count() < 40 * len(fps)
 
 
+def test_rounds_do_not_add_up_in_the_plan(spark, monkeypatch):
+    """Over the rounds of a chain, the planner's estimates stay those of one round: they hold the driver's memory."""
+    bits, cut = [], simhash.cut
+
+    def noted(df):
+        out = cut(df)
+        bits.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", noted)
+    edges = spark.range(32).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = simhash.components(edges)
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(1, 33)]
+    assert len(bits) > 12 and max(bits) < 100
+
+
 def test_segments_cover_the_radius():
     for n in (10, 10**5, 10**7, 10**9):
         parts = simhash.segments(n)

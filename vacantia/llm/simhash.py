@@ -13,7 +13,7 @@ Buckets above ``BUCKET`` fingerprints are dealt in pieces to several tasks, with
 to each piece. A task compares numpy blocks and gives back only the edges that join something new,
 so a dense group of n fingerprints gives about n edges a bucket, never all pairs; no link between
 components is lost. Components then grow by repeated hooking to the smallest neighbour and pointer
-jumping, distributed, each round cut by a checkpoint in the shared folder.
+jumping, distributed, each round written to the shared folder.
 
 ``keep_first``, the pipeline's stage, has a bar of its own: sets of five-word shingles of which two
 texts share 0.8. Its fingerprints are longer, since at that bar every bit differs with a chance of
@@ -232,11 +232,13 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET) ->
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component, for nodes with edges.
 
-    Alternating large-star and small-star rounds until nothing changes; every round's edges are
-    checkpointed. Neighbour lists are never collected: a star is an aggregate and a join.
+    Alternating large-star and small-star rounds until nothing changes. Neighbour lists are never
+    collected: a star is an aggregate and a join. Every round's edges are written and read again: a
+    checkpoint keeps the planner's estimate of its size, for a join the product of both sides, which
+    would grow to some four times the digits a round and fill the driver.
     """
     both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = cut(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
+    now = write_shared(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct(), "edges")
     seen, size = None, now.count()
     while True:
         # large star: larger neighbours of a node hang on the smallest of the node and its neighbours
@@ -246,7 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours hang on the smallest of them
         least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         small = spread_join(large, least, "a", size).select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
-        now = cut(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        now = write_shared(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
